@@ -2,8 +2,8 @@
 
 Texts are equal when they are identical after lower-casing A-Z only (bytes of UTF-8 otherwise untouched).  Equal texts
 of one Arrow batch are first folded into one *local group*, so a text that a third of all rows share crosses the
-network once a batch, not once a row.  The local groups are dealt out by sampled splitters over their normalised bytes
-(``repartitionByRange``), sorted externally there, and neighbours are compared in full by the window over equal bytes.
+network once a batch, not once a row.  The local groups are dealt out by sampled splitters over the first bytes of
+their normalised text and its hash (``repartitionByRange``), sorted externally by all bytes there, and neighbours are compared in full by the window over equal bytes.
 The group that results is joined back to its local groups by their small id, never by text, so no task collects the
 rows of a large group.
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from netspark.llm.common import slices, stored, table, whole_texts
 
+PREFIX = 32
+
 _LOCAL = pa.schema([("local", pa.int64()), ("ids", pa.list_(pa.int64())), ("norm", pa.binary()), ("sha", pa.string())])
 
 
@@ -52,10 +54,13 @@ def content_groups(docs: DataFrame, keep: str = "max") -> DataFrame:
     local = stored(
         whole_texts(docs).mapInArrow(_fold, "local long, ids array<long>, norm binary, sha string"), "content-local"
     )
-    same = Window.partitionBy("norm")
+    # splitters are a short prefix and a hash, so their sample stays small and a common beginning doesn't pile up
+    keys = ["prefix", "hash"]
+    same = Window.partitionBy(*keys, "norm")
     groups = (
         local.select("local", "norm", array_best("ids").alias("id"), F.size("ids").cast("long").alias("n"))
-        .repartitionByRange("norm")
+        .withColumns({"prefix": F.substring("norm", 1, PREFIX), "hash": F.xxhash64("norm")})
+        .repartitionByRange(*keys)
         .select("local", best("id").over(same).alias("keep_id"), F.sum("n").over(same).alias("group_size"))
     )
     rows = local.select("local", "ids", F.col("sha").alias("text_sha256")).join(groups, "local")
