@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netspark.llm.common import slices, stored, table, whole_texts
-from netspark.llm.tokens import PieceEncoder
+from netspark.llm.tokens import shared_encoder
 
 CAPACITY, PART, ROUNDS, LOOSE = 4096, 50_000, 6, 0.002
 
@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
     """One row per piece, without its ids: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = PieceEncoder(path, lower=True), np.uint32(end_id).tobytes()
+        enc, end = shared_encoder(path, True), np.uint32(end_id).tobytes()
         for b in slices(batches, 64):
             rows = []
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist())):

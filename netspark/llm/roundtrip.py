@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from netspark.llm.common import slices, table, whole_texts
-from netspark.llm.tokens import PieceEncoder
+from netspark.llm.tokens import shared_encoder
 
 _CODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[bytes], list[bytes]]]:
-    enc = PieceEncoder(path)
+    enc = shared_encoder(path)
     for b in slices(batches, 64):
         ids = enc.encode_many(b.column(1).to_pylist())
         yield b.column(0), ids, list(map(enc.decode, ids))

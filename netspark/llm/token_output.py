@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netspark.llm.common import slices, stored, table, whole_texts
-from netspark.llm.tokens import PieceEncoder
+from netspark.llm.tokens import shared_encoder
 
 SHARD_IDS, SAMPLE, BROADCAST_SHARDS = 4 << 20, 256, 1_000_000
 
@@ -98,7 +98,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_ids: int = S
     """Encodes and stores ``docs``; the table of shards."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, shard = PieceEncoder(path), TaskContext.get().partitionId(), 0
+        enc, part, shard = shared_encoder(path), TaskContext.get().partitionId(), 0
         wide = enc.tok.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         kind, end = ("<u4" if wide else "<u2"), np.uint32(end_id).tobytes()
         names: list = []

@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -25,11 +25,11 @@ _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _N = "0-9²³¹¼-¾"
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ÿ‐-‧]")
 _BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
-_ROW = {False: re.compile(f" [{_L}]"), True: re.compile(f"[{_L}]")}
+_SAFE = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
 _WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 
 #: Characters from which a piece counts as long unsplit text, tokens in the first window at a join, pieces kept.
-LONG, LEAF, WINDOW, MEMO = 1024, 512, 4, 250_000
+LONG, LEAF, WINDOW, MEMO = 1024, 512, 4, 300_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,6 +46,16 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _plain(text: str) -> bool:
+    """Whether the rules above split ``text`` as the library does."""
+    if "<|" in text:
+        return False
+    try:
+        return not text.encode("latin-1").translate(None, _SAFE)
+    except UnicodeEncodeError:
+        return _OTHER.search(text) is None
+
+
 class PieceEncoder(dict):
     """Memo from piece to its ids as little-endian unsigned 32-bit integers.
 
@@ -74,12 +84,17 @@ class PieceEncoder(dict):
     def learn(self, pieces: set[str]) -> None:
         """Adds the ids of pieces that are not in the memo, in one call of the library."""
         self._turn(len(pieces))
-        old = self.old
-        if old:
-            self.update((p, old[p]) for p in pieces & old.keys())
-            pieces = pieces - old.keys()
-        # words go to the library in rows, cut apart again where a word's bytes (or its end mark) end
-        words = [p for p in pieces if _ROW[self.lower].match(p) and len(p) < self.long]
+        if self.old:
+            known = {p: ids for p in pieces if (ids := self.old.get(p)) is not None}
+            self.update(known)
+            pieces = pieces - known.keys()  # as many as were asked for, at most
+        # pieces that stay apart when written in a row go to the library in rows, cut apart again where a piece's bytes
+        # (or its end mark) end
+        if self.lower:
+            words, rest = list(pieces), []
+        else:
+            words = [p for p in pieces if p[0] == " " and not p.isspace() and len(p) < self.long]
+            rest = pieces.difference(words)
         lead = " " * self.lower
         for k in range(0, len(words), 512):
             row = words[k : k + 512]
@@ -92,21 +107,24 @@ class PieceEncoder(dict):
                 ends = np.searchsorted(made, at) + 1
                 if made[ends - 1].tolist() != at.tolist():
                     raise ValueError("the vocabulary merges across words")
-            if len(ends) != len(row):
+            if len(ends) != len(row) or (len(row) and ends[-1] != len(ids)):
                 raise ValueError("the vocabulary merges across words")
             packed, e = ids.tobytes(), (4 * ends).tolist()
             self.update(zip(row, [packed[i:j] for i, j in zip([0, *e], e)]))
-        rest = [p for p in pieces if p not in self and (len(p) < self.long or self.lower)]
+        rest = [p for p in rest if len(p) < self.long]
         for p, x in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
             self[p] = array("I", x.ids).tobytes()
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """``encode`` of each text; the new pieces of all of them go to the library together."""
-        split = [self.pieces(t.lower() if self.lower else t) if t and "<|" not in t and _OTHER.search(t) is None else None for t in texts]
+        split = [self.pieces(t.lower() if self.lower else t) if t and _plain(t) else None for t in texts]
         found = [None if p is None else list(map(self.get, p)) for p in split]
-        if new := {p for ps, fs in zip(split, found) if fs is not None and None in fs for p, f in zip(ps, fs) if f is None}:
+        gaps = [[i for i, ids in enumerate(f) if ids is None] if f else () for f in found]
+        if new := {p[i] for p, g in zip(split, gaps) for i in g}:
             self.learn(new)
-            found = [list(map(self.__getitem__, p)) if f is not None and None in f else f for p, f in zip(split, found)]
+            for p, f, g in zip(split, found, gaps):
+                for i in g:
+                    f[i] = self[p[i]]
         return [self.encode(t) if f is None else b"".join(f) for f, t in zip(found, texts)]
 
     def __missing__(self, piece: str) -> bytes:
@@ -123,7 +141,7 @@ class PieceEncoder(dict):
         """Ids of a whole text, packed; null counts as empty."""
         if not text:
             return b""
-        if _OTHER.search(text) is None and "<|" not in text:
+        if _plain(text):
             return b"".join(map(self.__getitem__, self.pieces(text.lower() if self.lower else text)))
         if self.lower:  # normalisation may cross pieces: the library takes the whole text
             return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -161,12 +179,12 @@ class PieceEncoder(dict):
 
     # ---- long unsplit text
 
-    def _plain(self, texts: list[str]) -> list[list[int]]:
+    def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def tree(self, piece: str) -> list[int]:
         """Ids of one unsplit piece by tree concatenation."""
-        sides = self._plain([piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)])
+        sides = self._whole([piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)])
         while len(sides) > 1:
             joined = [self.join(a, b) for a, b in zip(sides[::2], sides[1::2])]
             sides = joined + ([sides[-1]] if len(sides) % 2 else [])
@@ -182,7 +200,13 @@ class PieceEncoder(dict):
                 a -= 1
             while b < len(right) and table[right[b]] and table[right[b]][0] & 0xC0 == 0x80:
                 b += 1
-            mid = self._plain([b"".join(table[i] for i in [*left[a:], *right[:b]]).decode()])[0]
+            mid = self._whole([b"".join(table[i] for i in [*left[a:], *right[:b]]).decode()])[0]
             if (a == 0 or mid[0] == left[a]) and (b == len(right) or mid[-1] == right[b - 1]):
                 return left[:a] + mid + right[b:]
             w *= 2
+
+
+@lru_cache(2)
+def shared_encoder(path: str, lower: bool = False) -> PieceEncoder:
+    """One encoder a Python worker: its memo serves all tasks that the worker gets."""
+    return PieceEncoder(path, lower)
