@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -206,13 +207,22 @@ def without(text: bytes, stretches: list[tuple[int, int]]) -> bytes:
 _SPOT = [("doc_id", pa.int64()), ("hash", pa.int64())]
 _PAIRS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 _PART = pa.struct([("key", pa.int64()), ("first", pa.int32()), ("own", pa.bool_()), ("bytes", pa.binary())])
-_STATE = pa.schema([*_SPOT, ("text", pa.binary()), ("open", pa.bool_()), ("starts", _PAIRS), ("parts", pa.list_(_PART))])
-_STATE_DDL = "doc_id long, hash long, text binary, open boolean, starts array<struct<a:int,b:int>>, parts array<struct<key:long,first:int,own:boolean,bytes:binary>>"
+_STATE_DDL = "doc_id long, hash long, text binary, starts array<struct<a:int,b:int>>, parts array<struct<key:long,first:int,own:boolean,bytes:binary>>"
 
 
-def _settle(marked: DataFrame, length: int) -> DataFrame:
-    """Settled windows of each text and the bytes that its unsettled runs send; ``open``: an answer is awaited."""
+class Finish(NamedTuple):
+    """What becomes of a text once its removed stretches are known: a function of both, and the columns it gives."""
+
+    of: Callable[[bytes, list[tuple[int, int]]], dict]
+    columns: pa.StructType
+    ddl: str
+
+
+def _settle(marked: DataFrame, length: int, finish: Finish) -> DataFrame:
+    """Texts that wait for an answer, with their settled windows; the result (``done``) of all others; the bytes that
+    unsettled runs send."""
     half = (length + GRAM) // 2
+    schema = pa.schema([*_SPOT, ("text", pa.binary()), ("starts", _PAIRS), ("parts", pa.list_(_PART)), ("done", finish.columns)])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -225,7 +235,7 @@ def _settle(marked: DataFrame, length: int) -> DataFrame:
                 for m in found or ():
                     i, j, p = m["first"], m["last"], m["anchor"]
                     if m["full"]:
-                        starts.append({"a": i, "b": j})
+                        starts.append((i, j))
                     else:
                         waits = True
                     if m["send"]:
@@ -234,10 +244,13 @@ def _settle(marked: DataFrame, length: int) -> DataFrame:
                             if lo <= hi:
                                 key = xxh64_intdigest(raw[a : a + half], m["gram"] & (1 << 64) - 1) - (1 << 63)
                                 parts.append({"key": key, "first": lo, "own": not m["full"], "bytes": raw[lo : hi + length]})
-                out.append((raw, waits, starts, parts))
-            yield table(_STATE, ids, hashes, *zip(*out))
+                if waits:
+                    out.append((raw, [{"a": a, "b": z} for a, z in starts], parts, None))
+                else:
+                    out.append((None, [], parts, finish.of(raw, covered(starts, length))))
+            yield table(schema, ids, hashes, *zip(*out))
 
-    return marked.mapInArrow(make, _STATE_DDL)
+    return marked.mapInArrow(make, f"{_STATE_DDL}, done struct<{finish.ddl}>")
 
 
 def _windows(firsts: list[int], parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -331,12 +344,8 @@ def _compare_hot(parts: DataFrame, length: int) -> DataFrame:
     return made.where("own").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "hash", F.col("start").alias("a"), F.col("start").alias("b"))
 
 
-_DONE = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("removed", _PAIRS)])
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-
-
-def repeated_starts(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
-    """Per row: doc_id, text (UTF-8), starts (closed intervals of starts of repeated windows), more (the same)."""
+def without_repeats(docs: DataFrame, finish: Finish, length: int = LENGTH, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
+    """Per row: doc_id and the columns of ``finish``."""
     if length < 2 * GRAM:
         raise ValueError(f"strings of at least {2 * GRAM} bytes")
     spark = docs.sparkSession
@@ -354,7 +363,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, batches: int = BATCHE
     marks = marks.groupBy(*spot).agg(F.collect_set(F.struct("first", "last", "anchor", "gram", "full", "send")).alias("marks"))
     texts = texts.select("doc_id", "text", *spot)
     marked = texts.join(marks, ["no_id", "id", "hash"], "left").select("doc_id", "text", "hash", "marks")
-    state = stored(_settle(marked, length), "suffix-state")
+    state = stored(_settle(marked, length, finish), "suffix-state")
     parts = state.select("doc_id", "hash", F.explode("parts").alias("p")).select("doc_id", "hash", "p.*")
     many = stored(parts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "suffix-hot")
     if many.isEmpty():
@@ -362,33 +371,36 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, batches: int = BATCHE
     else:
         more = _compare(parts.join(many, "key", "left_anti"), length).unionByName(_compare_hot(parts.join(many, "key", "left_semi"), length))
     more = more.groupBy(*spot).agg(F.collect_set(F.struct("a", "b")).alias("more"))
-    waiting = state.where("open").select("doc_id", "text", "starts", *spot).join(more, ["no_id", "id", "hash"], "left")
-    nothing = F.lit(None).cast("array<struct<a:int,b:int>>").alias("more")
-    return waiting.select("doc_id", "text", "starts", "more").unionByName(state.where("not open").select("doc_id", "text", "starts", nothing))
+    waiting = state.where("done is null").select("doc_id", "text", "starts", *spot).join(more, ["no_id", "id", "hash"], "left")
+    schema = pa.schema([("doc_id", pa.int64()), *finish.columns])
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            ids, texts, *found = (c.to_pylist() for c in b.columns)
+            rows = [finish.of(t, covered([(x["a"], x["b"]) for x in [*p, *(q or ())]], length)) for t, p, q in zip(texts, *found)]
+            yield table(schema, ids, *([r[f.name] for r in rows] for f in finish.columns))
 
-def _finished(rows: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, list]]:
-    for t, a, b in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_pylist()):
-        yield t, covered([(x["a"], x["b"]) for x in [*(a or ()), *(b or ())]], length)
+    late = waiting.select("doc_id", "text", "starts", "more").mapInArrow(make, f"doc_id long, {finish.ddl}".replace(":", " "))
+    return late.unionByName(state.where("done is not null").select("doc_id", "done.*"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """Per row: doc_id, kept (remaining bytes), n_bytes, removed (stretches [a, b))."""
+_REST = Finish(
+    lambda t, s: {"kept": without(t, s), "n_bytes": len(t), "removed": [[a, b] for a, b in s]},
+    pa.struct([("kept", pa.binary()), ("n_bytes", pa.int64()), ("removed", pa.list_(pa.list_(pa.int32())))]),
+    "kept:binary, n_bytes:long, removed:array<array<int>>",
+)
+_DIGEST = Finish(
+    lambda t, s: {"n_bytes": len(t), "n_removed": sum(b - a for a, b in s), "n_spans": len(s), "kept_sha256": hashlib.sha256(without(t, s)).hexdigest()},
+    pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]),
+    "n_bytes:long, n_removed:long, n_spans:long, kept_sha256:string",
+)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            done = list(_finished(b, length))
-            yield table(_DONE, b.column(0), [without(t, s) for t, s in done], [len(t) for t, _ in done], [[{"a": a, "b": z} for a, z in s] for _, s in done])
 
-    return repeated_starts(docs, length, **options).mapInArrow(make, "doc_id long, kept binary, n_bytes long, removed array<struct<a:int,b:int>>")
+def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
+    """Per row: doc_id, kept (remaining bytes), n_bytes, removed (stretches [a, b))."""
+    return without_repeats(docs, _REST, length, **options)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rows = [(len(t), sum(z - a for a, z in s), len(s), hashlib.sha256(without(t, s)).hexdigest()) for t, s in _finished(b, length)]
-            yield table(_DIGEST, b.column(0), *zip(*rows))
-
-    return repeated_starts(docs, length, **options).mapInArrow(make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return without_repeats(docs, _DIGEST, length, **options)
