@@ -41,6 +41,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
                     cut = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
             yield table(_PIECE, *zip(*rows))
+        enc.rest()
 
     return whole_texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -24,6 +24,7 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Ar
     for b in slices(batches, 64):
         ids = enc.encode_many(b.column(1).to_pylist())
         yield b.column(0), ids, list(map(enc.decode, ids))
+    enc.rest()
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

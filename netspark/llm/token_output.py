@@ -121,6 +121,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_ids: int = S
                 names, sizes, packed, shard = [], [], [], shard + 1
         if names:
             yield shut()
+        enc.rest()
 
     texts = whole_texts(docs).withColumn("h", F.xxhash64("text"))
     parts = texts.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")

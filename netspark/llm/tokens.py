@@ -16,6 +16,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import suppress
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -29,7 +31,7 @@ _SAFE = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0
 _WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 
 #: Characters from which a piece counts as long unsplit text, tokens in the first window at a join, pieces kept.
-LONG, LEAF, WINDOW, MEMO = 1024, 512, 4, 300_000
+LONG, LEAF, WINDOW, MEMO = 1024, 512, 4, 400_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,6 +58,15 @@ def _plain(text: str) -> bool:
         return _OTHER.search(text) is None
 
 
+def _gaps(found: list) -> Iterator[int]:
+    """Places of None."""
+    i = -1
+    with suppress(ValueError):
+        while True:
+            i = found.index(None, i + 1)
+            yield i
+
+
 class PieceEncoder(dict):
     """Memo from piece to its ids as little-endian unsigned 32-bit integers.
 
@@ -81,6 +92,10 @@ class PieceEncoder(dict):
             self.old = dict(self)
             self.clear()
 
+    def rest(self) -> None:
+        """At a task's end: the older generation goes, so that idle workers hold little."""
+        self.old = {}
+
     def learn(self, pieces: set[str]) -> None:
         """Adds the ids of pieces that are not in the memo, in one call of the library."""
         self._turn(len(pieces))
@@ -119,7 +134,7 @@ class PieceEncoder(dict):
         """``encode`` of each text; the new pieces of all of them go to the library together."""
         split = [self.pieces(t.lower() if self.lower else t) if t and _plain(t) else None for t in texts]
         found = [None if p is None else list(map(self.get, p)) for p in split]
-        gaps = [[i for i, ids in enumerate(f) if ids is None] if f else () for f in found]
+        gaps = [list(_gaps(f)) if f else () for f in found]
         if new := {p[i] for p, g in zip(split, gaps) for i in g}:
             self.learn(new)
             for p, f, g in zip(split, found, gaps):
