@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from netspark.operators.paths import bfs, symmetric, trace
 from netspark.plans.iterate import cut
 
-PACK = 100_000
+PACK, MOST_GOALS = 100_000, 100_000
 
 
 def cell_id(ix, iy) -> Column:
@@ -70,11 +70,14 @@ def frontier(found: DataFrame, attempted: DataFrame) -> DataFrame:
 def choose(frontier_: DataFrame, goals: DataFrame, k: int) -> DataFrame:
     """The k frontier cells nearest to a goal (Chebyshev), by distance and then cell.
 
-    Goals are few (the areas still to be connected); the frontier is compared with each.
+    The frontier is compared with each goal, so goals must be few (the areas still to be connected): more than
+    ``MOST_GOALS`` raise.
     """
+    if goals.count() > MOST_GOALS:
+        raise ValueError(f"more than {MOST_GOALS} goals")
     g = goals.select(F.col("ix").alias("gx"), F.col("iy").alias("gy"))
     far = F.greatest(F.abs(F.col("ix") - F.col("gx")), F.abs(F.col("iy") - F.col("gy")))
-    near = frontier_.join(F.broadcast(g.limit(100_000)), F.lit(True)).groupBy("ix", "iy").agg(F.min(far).alias("dist"))
+    near = frontier_.join(F.broadcast(g), F.lit(True)).groupBy("ix", "iy").agg(F.min(far).alias("dist"))
     return near.orderBy("dist", "ix", "iy").limit(k)
 
 
