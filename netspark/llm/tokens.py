@@ -19,9 +19,13 @@ from array import array
 from collections.abc import Iterator
 from contextlib import suppress
 from functools import cached_property, lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: The splitting rule of the byte-level vocabulary, restricted to characters on whose class every Unicode version agrees.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _N = "0-9²³¹¼-¾"
@@ -110,10 +114,10 @@ class PieceEncoder(dict):
         else:
             words = [p for p in pieces if p[0] == " " and not p.isspace() and len(p) < self.long]
             rest = pieces.difference(words)
-        lead = " " * self.lower
         for k in range(0, len(words), 512):
             row = words[k : k + 512]
-            ids = np.array(self.tok.encode_batch_fast([lead.join(row)], add_special_tokens=False)[0].ids, "<u4")
+            line = " ".join(row) if self.lower else "".join(row).encode().decode("latin-1").translate(self.shown)
+            ids = np.array(self.in_rows.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             if self.lower:
                 ends = np.flatnonzero(self.closes[ids]) + 1
             else:
@@ -168,6 +172,22 @@ class PieceEncoder(dict):
                 out += [self[part[a:b]] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
         return b"".join(out)
 
+    @cached_property
+    def in_rows(self) -> Tokenizer:
+        """The library for rows of words; a byte-level one takes them as ``shown`` and only cuts at white space."""
+        if self.lower:
+            return self.tok
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        tok = Tokenizer.from_str(self.tok.to_str())
+        tok.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        return tok
+
+    @cached_property
+    def shown(self) -> dict[int, str]:
+        """For ``str.translate`` of bytes read as Latin-1: each byte's stand-in, white space before that of a space."""
+        return {b: " " * (b == 32) + c for c, b in _byte_of_char().items()}
+
     # ---- decoding
 
     @cached_property
