@@ -30,7 +30,8 @@ if TYPE_CHECKING:
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _N = "0-9²³¹¼-¾"
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ÿ‐-‧]")
-_BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+#: Letters and digits come first, as no contraction begins with one, and nothing is given back.
+_BYTE_PIECES = re.compile(rf" ?+(?:[{_L}]++|[{_N}]++)|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_L}{_N}]++|\s+(?!\S)|\s+")
 _SAFE = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
 _WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 

@@ -26,6 +26,18 @@ def test_pieces_encode_as_the_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_many(TEXTS)] == [ref(t) for t in TEXTS]
 
 
+def test_splitting_rules_agree_with_the_library_on_random_texts():
+    rng = np.random.default_rng(4)
+    parts = [" ", "  ", "\n", "\t", "\r", "'", "'s", "'re", "'ll", "'v", "r", "e", "s", "t", "é", "ß", "1", "23", "½", "²"]
+    parts += [".", ",", "!", "-", "‐", "‧", "¡", "<", "|", "Word", "ª", "×", "µ"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 15))) for _ in range(5000)]
+    for path, lower in ((BYTE, False), (WORD, True)):
+        enc, ref = PieceEncoder(path, lower=lower, memo=300), plain(path)
+        for k in range(0, len(texts), 64):
+            some = texts[k : k + 64]
+            assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_many(some)] == [ref(t) for t in some]
+
+
 def test_tree_concatenation_is_exact():
     rng = np.random.default_rng(1)
     enc, ref = PieceEncoder(BYTE, long=16, leaf=5), plain(BYTE)
