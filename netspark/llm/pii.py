@@ -2,15 +2,17 @@
 
 Base spans are the e-mail, IP, card and phone patterns; each is found in linear time whatever the text holds.
 
-Around every base span the words of a window are its context.  Over the corpus, the co-occurrence of a term and an
-entity (one address, number ...) tells how much of the entity the term gives away: with contexts as events,
-``PMI(t, c) / IC(c) = 1 + ln p(c | t) / -ln p(c)``.  A term that reaches ``threshold`` of what is to be known about the
-entity, with ``support`` different contexts, is a span of its own (kind ``term``) wherever it stands near that entity;
-``sanitise`` replaces base spans by their kind and generalises such terms.
-
-Equal contexts count once, so copies of a document are no evidence.  Null text is empty and has no spans; repeated
-rows are rows of their own.  Term counts cover the whole corpus: a fixed bitmap (128 KB) of the hashes of candidate
-terms only spares counting words that can't matter.
+Around every base span the words of a window are its context.  The co-occurrence of a term and an entity (one address,
+number ...) tells how much of the entity the term gives away: with *distinct texts* as events,
+``PMI(t, c) / IC(c) = 1 + ln p(c | t) / -ln p(c)``.  For p(c | t) stands the lower end of its confidence interval (Wilson,
+``Z``), so few events need a clearer case and no number of them is asked for.  A term that reaches ``threshold`` of what
+is to be known about an entity is a span of its own (kind ``term``) wherever it stands, in whichever text; ``sanitise``
+replaces base spans by their kind and generalises such terms.
+
+Every count is one of distinct texts, so copies of a document are no evidence; texts that repeat one context about the
+entity weigh as one in the interval.  The event that brings a pair up is no evidence for it, only what repeats it is.
+Null text is empty and has no spans; repeated rows are rows of their own.  Term counts cover the whole corpus: fixed
+bitmaps (128 KB) of hashes only spare counting words that can't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from netspark.llm.common import slices, stored, table, whole_texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
-BITS, WINDOW, SUPPORT, THRESHOLD = 20, 100, 5, 0.9
+BITS, WINDOW, Z, THRESHOLD = 20, 100, 1.2816, 0.9  # Z: 90 % of one side
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,96 +99,156 @@ def contexts(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW)
                     yield entity, sign(m[0].lower()), s, e, where
 
 
+_NEAR = pa.schema([("text_hash", pa.int64()), ("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])
 _FOUND = pa.schema(
     [("doc_id", pa.int64()), ("text_hash", pa.int64())]
     + [("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]
-    + [("near", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())])))]
+    + [("hits", pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))]
 )
-_FOUND_DDL = "doc_id long, text_hash long, spans array<struct<kind:string,start:int,end:int>>, near array<struct<entity:long,term:long,start:int,end:int,context:long>>"
-_COUNT = pa.schema([("term", pa.int64()), ("n", pa.int64())])
+_FOUND_DDL = "doc_id long, text_hash long, spans array<struct<kind:string,start:int,end:int>>, hits array<struct<term:long,start:int,end:int>>"
+_COUNT = pa.schema([("text_hash", pa.int64()), ("term", pa.int64()), ("n", pa.int64())])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and their context terms, per row; no texts."""
+class _Marks:
+    """A fixed bitmap of 64-bit hashes: no hash is missed, some others pass."""
+
+    def __init__(self, hashes: DataFrame):
+        # at most 2 ** BITS numbers, whatever the corpus
+        slots = [r[0] for r in hashes.select(F.col(hashes.columns[0]).bitwiseAND((1 << BITS) - 1).cast("int")).distinct().collect()]
+        bitmap = np.zeros(1 << BITS, bool)
+        bitmap[slots] = True
+        self.shared = hashes.sparkSession.sparkContext.broadcast(np.packbits(bitmap).tobytes())
+
+    def read(self) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(self.shared.value, np.uint8)).astype(bool)
+
+
+def _lookup(wanted: np.ndarray):
+    """Hash of a lower-case word if the bitmap has it, else none; remembers words."""
+    from xxhash import xxh64_intdigest
+
+    memo: dict[str, int | None] = {}
+
+    def term(w: str) -> int | None:
+        if w in memo:
+            return memo[w]
+        h = xxh64_intdigest(w.encode("utf-8", "replace")) - (1 << 63)
+        if len(memo) > 200_000:
+            memo.clear()
+        memo[w] = h if wanted[h & ((1 << BITS) - 1)] else None
+        return memo[w]
+
+    return term
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return whole_texts(docs).withColumn("text_hash", F.xxhash64("text"))
+
+
+def near_terms(docs: DataFrame) -> DataFrame:
+    """(text_hash, entity, term, context) for the terms around base spans; no texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            spans, near = [], []
-            for t in b.column(1).to_pylist():
-                found = base_spans(t)
-                spans.append([dict(zip(("kind", "start", "end"), s)) for s in found])
-                near.append([dict(zip(("entity", "term", "start", "end", "context"), c)) for c in contexts(t, found)])
-            yield table(_FOUND, b.column(0), b.column(2), spans, near)
+            out = {(h, c, w, where) for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) for c, w, _, _, where in contexts(t, base_spans(t))}
+            yield table(_NEAR, *(zip(*out) if out else [[]] * 4))
+
+    return _hashed(docs).mapInArrow(run, "text_hash long, entity long, term long, context long").distinct()
 
-    return whole_texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, _FOUND_DDL)
 
+def _reaches(pairs: DataFrame, hits, tries, total: int, threshold: float) -> DataFrame:
+    """``pairs`` in which the lower end of the interval of hits / tries reaches the threshold."""
+    n, z2 = F.greatest(tries, F.lit(1e-9)), Z * Z
+    p = F.least(F.lit(1.0), hits / n)
+    low = (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    ic = -F.log(F.least(F.col("n_entity") / F.lit(float(total)), F.lit(0.5)))
+    return pairs.where((hits > 0) & (1 + F.log(F.greatest(low, F.lit(1e-300))) / ic >= threshold))
 
-def revealing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+
+def revealing(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(entity, term): pairs in which the term discloses the entity beyond the threshold."""
-    events = found.select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.context").distinct()
-    events = stored(events, "pii-events")
-    of_entity = events.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = events.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= support)
-    pairs = stored(pairs.join(of_entity, "entity"), "pii-pairs")
-    # at most 2 ** BITS numbers, whatever the corpus
-    slots = [r[0] for r in pairs.select(F.col("term").bitwiseAND((1 << BITS) - 1).cast("int")).distinct().collect()]
-    bitmap = np.zeros(1 << BITS, bool)
-    bitmap[slots] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap).tobytes())
+    events = stored(near_terms(docs), "pii-events")
+    copies = stored(_hashed(docs).groupBy("text_hash").agg(F.count("*").alias("n")), "pii-copies")
+    total = max(2, copies.count())
+    of_entity = events.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    in_texts = events.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair"))
+    in_contexts = events.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_context"))
+    pairs = in_texts.join(in_contexts, ["entity", "term"]).join(of_entity, "entity")
+    pairs = pairs.withColumn("own", F.least("n_pair", "n_context").cast("double"))
+    # what can't reach the threshold even if the term stood nowhere else needs no count
+    pairs = stored(_reaches(pairs, F.col("own") - 1, F.col("own") - 1, total, threshold), "pii-pairs")
+    terms, repeated = _Marks(pairs.select("term")), _Marks(copies.where("n > 1").select("text_hash"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        wanted = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        any_wanted = bool(wanted.any())
-        memo: dict[str, int | None] = {}
-        seen: Counter = Counter()
-        words = 0
-
-        def term(w: str) -> int | None:
-            h = xxh64_intdigest(w.encode("utf-8", "replace")) - (1 << 63)
-            if len(memo) > 200_000:
-                memo.clear()
-            memo[w] = h if wanted[h & ((1 << BITS) - 1)] else None
-            return memo[w]
-
+        wanted, several = terms.read(), repeated.read()
+        if not wanted.any():
+            return
+        term, seen, done = _lookup(wanted), Counter(), set()
         for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                here = _TERM.findall(t.lower())
-                words += len(here)
-                if any_wanted:
-                    for w, k in Counter(here).items():
-                        h = memo[w] if w in memo else term(w)
-                        if h is not None:
-                            seen[h] += k
+            own: list[tuple[int, int]] = []
+            for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if h in done:
+                    continue
+                here = {x for x in map(term, {w.lower() for w in _TERM.findall(t)}) if x is not None}
+                if several[h & ((1 << BITS) - 1)]:  # may stand in other tasks, too: counted apart
+                    if len(done) > 100_000:
+                        done.clear()
+                    done.add(h)
+                    own += [(h, x) for x in here]
+                else:
+                    seen.update(here)
+            if own:
+                yield table(_COUNT, *zip(*own), [1] * len(own))
             if len(seen) > 100_000:
-                yield table(_COUNT, list(seen), list(seen.values()))
+                yield table(_COUNT, [None] * len(seen), list(seen), list(seen.values()))
                 seen.clear()
-        yield table(_COUNT, [None, *seen], [words, *seen.values()])
+        yield table(_COUNT, [None] * len(seen), list(seen), list(seen.values()))
+
+    counts = stored(_hashed(docs).mapInArrow(count, "text_hash long, term long, n long"), "pii-counts")
+    once = counts.where("text_hash is not null").distinct()
+    counts = counts.where("text_hash is null").unionByName(once).groupBy("term").agg(F.sum("n").alias("n_term"))
+    judged = pairs.join(counts, "term")
+    return _reaches(judged, F.col("own") - 1, F.col("own") * F.col("n_term") / F.col("n_pair") - 1, total, threshold).select("entity", "term")
+
+
+def scan(docs: DataFrame, terms: _Marks) -> DataFrame:
+    """Base spans and words that may be terms, per row; no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = terms.read()
+        any_wanted, term = bool(wanted.any()), _lookup(wanted)
+        for b in slices(batches):
+            spans, hits = [], []
+            for t in b.column(1).to_pylist():
+                found, some = base_spans(t), []
+                if any_wanted and any(term(w.lower()) is not None for w in set(_TERM.findall(t))):
+                    at = 0
+                    by_end = sorted(found, key=lambda s: s[2])
+                    for m in _TERM.finditer(t):
+                        if (h := term(m[0].lower())) is not None:
+                            while at < len(by_end) and by_end[at][2] <= m.start():
+                                at += 1
+                            if not any(a < m.end() for _, a, _ in by_end[at:]):
+                                some.append({"term": h, "start": m.start(), "end": m.end()})
+                spans.append([dict(zip(("kind", "start", "end"), s)) for s in found])
+                hits.append(some)
+            yield table(_FOUND, b.column(0), b.column(2), spans, hits)
 
-    counts = whole_texts(docs).select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    counts = stored(counts, "pii-terms")
-    words = counts.where("term is null").agg(F.max("n_term")).first()[0] or 1
-    mean = 12  # words in a context of the usual width: events are contexts, not words
-    total = max(2.0, words / mean)
-    ic = -F.log(F.least(F.col("n_entity") / F.lit(total), F.lit(0.5)))
-    given = F.least(F.lit(1.0), F.col("n_pair") / F.greatest("n_term", "n_pair"))
-    ratio = 1 + F.log(given) / ic
-    return pairs.join(counts, "term").where(ratio >= threshold).select("entity", "term")
+    return _hashed(docs).mapInArrow(run, _FOUND_DDL)
 
 
-def detect(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, text_hash, spans (array of kind, start, end in order; base spans and terms)."""
-    found = stored(scan(docs).withColumn("row", F.monotonically_increasing_id()), "pii-spans")
-    pairs = revealing(docs, found, support, threshold)
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
-    more = near.join(pairs, ["entity", "term"], "left_semi").select("row", "start", "end").distinct()
+    terms = stored(revealing(docs, threshold).select("term").distinct(), "pii-terms")
+    found = stored(scan(docs, _Marks(terms)).withColumn("row", F.monotonically_increasing_id()), "pii-spans")
+    hits = found.select("row", F.explode("hits").alias("x")).select("row", "x.term", "x.start", "x.end")
+    more = hits.join(terms, "term", "left_semi").select("row", "start", "end")
     more = more.groupBy("row").agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("more"))
     listed = F.array(*map(F.lit, KINDS))
     all_ = F.concat("spans", F.coalesce("more", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")))
     keyed = F.transform(all_, lambda s: F.struct(s["start"].alias("start"), F.array_position(listed, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.drop("near").join(more, "row", "left").select("doc_id", "text_hash", ordered.alias("spans"))
+    return found.drop("hits").join(more, "row", "left").select("doc_id", "text_hash", ordered.alias("spans"))
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -208,12 +270,12 @@ def replaced(text: str, spans: list) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with personal data replaced in ``text``; all other columns and null texts as they are.
 
     Where there is an ``n_chars`` column it follows the new text.
     """
-    spans = detect(docs, support, threshold).where(F.size("spans") > 0).select(F.col("text_hash").alias("__hash"), F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    spans = detect(docs, threshold).where(F.size("spans") > 0).select(F.col("text_hash").alias("__hash"), F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
     spans = spans.dropDuplicates(["__hash", "__id"])
 
     @F.pandas_udf("string")

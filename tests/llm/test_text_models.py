@@ -61,6 +61,22 @@ def test_revealing_terms(spark):
     assert "<EMAIL>" in clean[0] and "Zorblatt" not in clean[0] and clean[100] == out[12][1]
 
 
+def plain_corpus(n):
+    return [(10_000 + i, f"plain text about common words and thing number {'v' * (4 + i % 900)} {i}") for i in range(n)]
+
+
+def term_spans(spark, rows_):
+    found = pii.detect(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    texts = dict(rows_)
+    return {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"} for r in found}
+
+
+def test_terms_of_few_contexts_are_judged(spark):
+    few = [(i, f"{'abcd'[i] * 5} Zorblatt mail boss@corp.com about {'efgh'[i] * 6}") for i in range(4)]
+    got = term_spans(spark, few + [(10, "seen once Frobnitz beside lone@corp.com only")] + plain_corpus(4000))
+    assert all("Zorblatt" in got[i] for i in range(4)) and not got[10] and not any(got[i] for i in got if i >= 10_000)
+
+
 def test_pii_rows(spark):
     docs, empty = frames(spark)
     got = Counter((r.doc_id, r.base_sha256) for r in pii.digest(pii.detect(docs)).collect())
