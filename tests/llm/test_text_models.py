@@ -77,6 +77,12 @@ def test_terms_of_few_contexts_are_judged(spark):
     assert all("Zorblatt" in got[i] for i in range(4)) and not got[10] and not any(got[i] for i in got if i >= 10_000)
 
 
+def test_copies_neither_clear_nor_convict_a_term(spark):
+    few = [(-1000 * k - i - 1, f"{'abcde'[i] * 5} Zorblatt mail boss@corp.com about {'fghij'[i] * 6}") for i in range(5) for k in range(40)]
+    got = term_spans(spark, few + [(900 + i, "copied Frobnitz text tells x@y.org every time") for i in range(50)] + plain_corpus(4000))
+    assert all("Zorblatt" in got[d] for d, _ in few) and not got[900]
+
+
 def test_pii_rows(spark):
     docs, empty = frames(spark)
     got = Counter((r.doc_id, r.base_sha256) for r in pii.digest(pii.detect(docs)).collect())
