@@ -83,6 +83,15 @@ def test_copies_neither_clear_nor_convict_a_term(spark):
     assert all("Zorblatt" in got[d] for d, _ in few) and not got[900]
 
 
+def test_terms_are_marked_wherever_they_stand(spark):
+    few = [(i, f"{chr(97 + i) * 5} Zorblatt mail boss@corp.com about {chr(97 + i) * 6} " + "plain words " * 30 + "zorblatt again") for i in range(20)]
+    docs = few + [(50, "without any address ZORBLATT stands here")] + plain_corpus(4000)
+    got = term_spans(spark, docs)
+    assert all({"Zorblatt", "zorblatt"} <= got[i] for i in range(20)) and got[50] == {"ZORBLATT"}
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert clean[50] == "without any address <TERM> stands here" and "orblatt" not in clean[0]
+
+
 def test_pii_rows(spark):
     docs, empty = frames(spark)
     got = Counter((r.doc_id, r.base_sha256) for r in pii.digest(pii.detect(docs)).collect())
