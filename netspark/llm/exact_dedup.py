@@ -25,56 +25,74 @@ from netspark.llm.common import slices, stored, table, whole_texts
 
 PREFIX = 32
 
-_LOCAL = pa.schema([("local", pa.int64()), ("ids", pa.list_(pa.int64())), ("norm", pa.binary()), ("sha", pa.string())])
+_LOCAL = pa.schema(
+    [("local", pa.int64()), ("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("norm", pa.binary()), ("sha", pa.string())]
+)
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for the equal texts of a batch: their ids, normalised bytes and SHA-256."""
+    """One row for the equal texts of a batch: their ids, row numbers, normalised bytes and SHA-256."""
     at = TaskContext.get().partitionId() << 36
     for batch in batches:
         groups: dict[bytes, list] = {}
         for part in slices([batch]):
-            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for i, t in zip(zip(part.column(0).to_pylist(), part.column(2).to_pylist()), part.column(1).to_pylist()):
                 groups.setdefault(t.encode().lower(), []).append(i)  # bytes.lower() changes A-Z only
         keys = list(groups)
         for k in range(0, len(keys), 1024):
             some = keys[k : k + 1024]
-            yield table(_LOCAL, range(at, at + len(some)), [groups[x] for x in some], some, [hashlib.sha256(x).hexdigest() for x in some])
+            yield table(_LOCAL, range(at, at + len(some)), [[i for i, _ in groups[x]] for x in some], [[r for _, r in groups[x]] for x in some], some, [hashlib.sha256(x).hexdigest() for x in some])
             at += len(some)
 
 
-def content_groups(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def _groups(numbered: DataFrame, keep: str) -> DataFrame:
+    """One row per row of ``numbered`` (doc_id, text, row): doc_id, row, keep_id, group_size, stays, text_sha256.
 
-    ``keep``: whether the smallest (``min``) or the largest (``max``) doc_id of equal texts stays.
+    ``stays`` is true for one row of each group: the first by number of those that have the kept id, or no id if none has.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
     best, array_best = (F.max, F.array_max) if keep == "max" else (F.min, F.array_min)
     local = stored(
-        whole_texts(docs).mapInArrow(_fold, "local long, ids array<long>, norm binary, sha string"), "content-local"
+        whole_texts(numbered, "row").mapInArrow(_fold, "local long, ids array<long>, rows array<long>, norm binary, sha string"), "content-local"
     )
     # splitters are a short prefix and a hash, so their sample stays small and a common beginning doesn't pile up
     keys = ["prefix", "hash"]
     same = Window.partitionBy(*keys, "norm")
+    first = F.array_min(F.transform(F.filter(F.arrays_zip("ids", "rows"), lambda x: x["ids"].eqNullSafe(F.col("id"))), lambda x: x["rows"]))
     groups = (
-        local.select("local", "norm", array_best("ids").alias("id"), F.size("ids").cast("long").alias("n"))
+        local.select("local", "norm", array_best("ids").alias("id"), F.size("ids").cast("long").alias("n"), "ids", "rows")
+        .select("local", "norm", "id", "n", first.alias("first"))
         .withColumns({"prefix": F.substring("norm", 1, PREFIX), "hash": F.xxhash64("norm")})
         .repartitionByRange(*keys)
-        .select("local", best("id").over(same).alias("keep_id"), F.sum("n").over(same).alias("group_size"))
+        .withColumns({"keep_id": best("id").over(same), "group_size": F.sum("n").over(same)})
+        .withColumn("row_that_stays", F.min(F.when(F.col("id").eqNullSafe(F.col("keep_id")), F.col("first"))).over(same))
+        .select("local", "keep_id", "group_size", "row_that_stays")
     )
-    rows = local.select("local", "ids", F.col("sha").alias("text_sha256")).join(groups, "local")
-    # of rows that repeat the kept id, the first in its local group with the least number stays
-    rows = rows.select("*", F.posexplode("ids").alias("at", "doc_id"))
+    rows = local.select("local", F.arrays_zip("ids", "rows").alias("of"), F.col("sha").alias("text_sha256")).join(groups, "local")
+    rows = rows.select("*", F.explode("of").alias("x"))
     return rows.select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
-    )
+        F.col("x.ids").alias("doc_id"), F.col("x.rows").alias("row"), "keep_id", "group_size",
+        (F.col("x.rows") == F.col("row_that_stays")).alias("stays"), "text_sha256",
+    )
+
+
+def content_groups(docs: DataFrame, keep: str = "max") -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    ``keep``: whether the smallest (``min``) or the largest (``max``) doc_id of equal texts stays.  Rows that repeat the
+    kept id are all marked as kept; of a group without any id one row is.
+    """
+    rows = _groups(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), keep)
+    kept = F.when(F.col("keep_id").isNull(), F.col("stays")).otherwise(F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)))
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, all their columns unchanged: one row of each group of equal texts.
 
-    Needs unique doc_ids, as the pipeline's documents have; rows that repeat the kept doc_id all stay.
+    Rows are told apart by a number of their own, so null and repeated doc_ids lose no group and leave no copies.
     """
-    kept = content_groups(docs, keep).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "content-rows")
+    gone = _groups(numbered.select("doc_id", "text", F.col("__row").alias("row")), keep).where("not stays")
+    return numbered.join(gone.select(F.col("row").alias("__row")), "__row", "left_anti").drop("__row")

@@ -165,6 +165,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns unchanged: the smallest doc_id of each component."""
-    keep = near_duplicates(docs, k, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """The rows of ``docs`` that stay, all their columns unchanged: the smallest doc_id of each component, null last.
+
+    Of rows that repeat that doc_id, and of rows without any, the first by number stays.
+    """
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    of_row = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), k, radius).select(F.col("doc_id").alias("__row"), "component_id")
+    named = of_row.join(numbered.select("__row", "doc_id"), "__row")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("stays"))
+    gone = named.join(best, "component_id").where("__row <> stays").select("__row")
+    return numbered.join(gone, "__row", "left_anti").drop("__row")

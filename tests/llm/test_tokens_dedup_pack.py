@@ -102,6 +102,18 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs).columns == docs.columns
 
 
+def test_null_and_repeated_ids_lose_no_text_and_leave_no_copy(spark):
+    out = [(None, "only null ids"), (None, "ONLY null ids"), (None, "beside a number"), (4, "beside a number"), (9, "twice"), (9, "twice"), (None, "alone")]
+    docs = spark.createDataFrame(out, "doc_id long, text string")
+    for keep in ("min", "max"):
+        got = Counter(r.text.lower() for r in exact_dedup.exact_dedup(docs, keep).collect())
+        assert got == Counter(["only null ids", "beside a number", "twice", "alone"])
+        assert (4, "beside a number") in set(map(tuple, exact_dedup.exact_dedup(docs, keep).collect()))
+        groups = exact_dedup.content_groups(docs, keep).collect()
+        assert sum(r.kept for r in groups if r.keep_id is None) == 2
+    assert Counter(r.text.lower() for r in simhash.one_of_each(docs).collect()) == got
+
+
 def test_hot_group_is_whole(spark):
     docs = spark.range(30_000).selectExpr("id doc_id", "if(id % 3 = 0, 'Same', concat('t', id)) text")
     got = exact_dedup.content_groups(docs)
