@@ -5,32 +5,31 @@ labelled documents (``per_language``, by hash of doc_id) with a Dirichlet prior.
 estimates each document's proportions of the languages from the likelihoods of all its trigrams; languages are taken
 out one by one, the least first, while the loss of log-likelihood stays below the penalty of a further parameter.
 
-Null text, or one without a letter, is ``und`` with score 0.  With nothing to learn from, every document is ``und``.
-``lang`` is read for learning only; the score is the proportion of the predicted language.
+Null text, or one without a letter (``str.isalpha``; fractions and Roman numerals are numbers), is ``und`` with score 0.
+With nothing to learn from, every document is ``und``; an empty table gives an empty result.  Equal proportions go to the
+language first by name.  Rows that repeat a doc_id are rows of their own.  ``lang`` is read for learning only; the score
+is the proportion of the predicted language.  Columns other than ``doc_id``, ``text`` and ``lang`` are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.llm.common import slices, table
+from netspark.llm.common import first_by_hash, slices, table
 
 BINS, PER_LANGUAGE, PRIOR, PENALTY = 1 << 16, 1500, 0.5, 30.0
-_LETTER = re.compile(r"[^\W\d_]")
+CHUNK = 1 << 18
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 _PRED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Hashed trigrams of a whole text, those of three separators left out."""
-    raw = (" " + text.lower() + " ").encode("utf-8", "replace").translate(_FOLD)
+def _codes(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
     if len(b) < 3:
         return np.zeros(0, np.int64)
@@ -39,21 +38,56 @@ def trigrams(text: str) -> np.ndarray:
     return (code * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64) % BINS
 
 
+def _raw(text: str) -> bytes:
+    return (" " + text.lower() + " ").encode("utf-8", "replace").translate(_FOLD)
+
+
+def trigrams(text: str) -> np.ndarray:
+    """Hashed trigrams of a whole text, those of three separators left out."""
+    return _codes(_raw(text))
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different trigrams of a whole text and how often each stands there; long texts are counted in chunks."""
+    raw = _raw(text)
+    if len(raw) <= CHUNK:
+        return np.unique(_codes(raw), return_counts=True)
+    total = np.zeros(BINS, np.int64)
+    for at in range(0, len(raw) - 2, CHUNK):
+        total += np.bincount(_codes(raw[at : at + CHUNK + 2]), minlength=BINS)
+    grams = np.flatnonzero(total)
+    return grams, total[grams]
+
+
+_GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-likelihoods (BINS x languages) from ``doc_id, text, lang`` of the rows to learn from."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # the top of each language is found before the shuffle; ids only
-    ids = docs.where("lang is not null and text is not null").select("doc_id", "lang")
-    ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id").distinct()
-    sample = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-
-    def count(group: pa.Table) -> pa.Table:
+    """Languages and their log-likelihoods (BINS x languages) from ``doc_id, text, lang`` of the rows to learn from.
+
+    At most ``per_language`` rows of a language count.  Texts are counted where they are read; only counts move.
+    """
+    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    ids = first_by_hash(known.select("doc_id", "lang"), "doc_id", "lang", per_language).distinct()
+    sample = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for b in slices(batches):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                grams, n = counted(text)
+                total.setdefault(lang, np.zeros(BINS, np.int64))[grams] += n
+        for lang, n in total.items():
+            grams = np.flatnonzero(n)
+            yield table(_GRAMS, [lang] * len(grams), grams, n[grams])
+
+    def dense(group: pa.Table) -> pa.Table:
         counts = np.zeros(BINS, np.int64)
-        for t in group["text"].to_pylist():
-            counts += np.bincount(trigrams(t), minlength=BINS)
+        counts[group["gram"].to_numpy()] = group["n"].to_numpy()
         return pa.table({"lang": [group["lang"][0].as_py()], "counts": pa.array([counts], pa.list_(pa.int64()))})
 
-    rows = sorted(sample.groupBy("lang").applyInArrow(count, "lang string, counts array<long>").collect())
+    grams = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = sorted(grams.groupBy("lang").applyInArrow(dense, "lang string, counts array<long>").collect())  # BINS numbers a language
     if not rows:
         return [], np.zeros((BINS, 0))
     counts = np.array([r.counts for r in rows], float).T
@@ -62,7 +96,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
 
 def proportions(codes: np.ndarray, logp: np.ndarray, penalty: float = PENALTY, steps: int = 12) -> np.ndarray:
     """Proportion of every language in a document with these trigrams; zero outside the selected set."""
-    grams, n = np.unique(codes, return_counts=True)
+    return mixture(*np.unique(codes, return_counts=True), logp, penalty, steps)
+
+
+def mixture(grams: np.ndarray, n: np.ndarray, logp: np.ndarray, penalty: float = PENALTY, steps: int = 12) -> np.ndarray:
+    """The same from different trigrams and how often each stands there."""
     n = n.astype(float)
     p = np.exp(logp[grams])
     chosen = np.arange(p.shape[1])
@@ -89,9 +127,9 @@ def proportions(codes: np.ndarray, logp: np.ndarray, penalty: float = PENALTY, s
 
 
 def _pred(text: str | None, langs: list[str], logp: np.ndarray) -> tuple[str, float]:
-    if not langs or text is None or not _LETTER.search(text):
+    if not langs or text is None or not any(map(str.isalpha, text)):
         return "und", 0.0
-    pi = proportions(trigrams(text), logp)
+    pi = mixture(*counted(text), logp)
     k = int(np.argmax(pi))
     return langs[k], float(min(1.0, pi[k]))
 
