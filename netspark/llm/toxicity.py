@@ -7,16 +7,23 @@ passage count once.  All other tokens cost a small drift, which makes chance seg
 
 All maximal scoring segments of a whole text are found in one linear scan (only runs between scoring tokens matter).
 Their scores are calibrated as extreme values: lambda solves ``sum p(s) exp(lambda s) = 1`` over clean text, and
-``lambda * S - ln(words)`` has one distribution whatever a document's length.  A logistic curve over the best
-segment's value, fitted on the same labelled rows, gives the score; segments with E-value below 0.01 are passages.
-
-Null or empty texts score lowest.  Labels are read for learning only.  Without labels of both kinds every score is 0.
+``lambda * S - ln(words)`` has one distribution whatever a document's length; texts under ``FLOOR`` words count as that
+long, so being short is no evidence.  A logistic curve over the best segment's value, fitted on the same labelled rows,
+gives the score; segments with E-value below 0.01 are passages.
+
+A text without a scoring word has no segment and gets the least value there is: null, empty and wordless texts score
+lowest, with all other texts without evidence.  Rows that repeat a doc_id are rows of their own; an empty table gives
+an empty result; columns other than ``doc_id`` and ``text`` are not read.  Labels are read for learning only; of
+several labels of one document the toxic one counts.  Without labels of both kinds every score is 0.
+
+The model has bounds of its own, which are parameters of learning and not of scoring: ``PER_CLASS`` labelled documents of
+each kind, tokens seen in at least ``SUPPORT`` toxic pairs, scores of at most ``TOP``, the ``MOST`` surest words and as many
+stems of each size.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -26,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.llm.common import slices, table, whole_texts
+from netspark.llm.common import first_by_hash, slices, stored, table, whole_texts
 
-PER_CLASS, PRIOR, CONFIDENCE, LEAST, TOP, DRIFT, MOST, STEMS = 4000, 0.5, 2.0, 1.2, 8.0, 0.1, 50_000, (6, 5, 4)
+PER_CLASS, PRIOR, CONFIDENCE, LEAST, SUPPORT, TOP, DRIFT, MOST, STEMS = 4000, 0.5, 2.0, 1.2, 5, 8.0, 0.1, 50_000, (6, 5, 4)
+FLOOR, RANGE, STEP = 100, 12.0, 0.01
 _WORD = re.compile(r"\w+")
 
 
@@ -40,36 +48,29 @@ class Model(NamedTuple):
     b: float
 
 
-def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Tokens whose log-odds exceed LEAST with confidence, with their lower bound."""
-    names = [w for w, k in toxic.items() if k >= 5]
-    t, c = (np.array([x[w] for w in names], float) for x in (toxic, clean))
-    delta = np.log((t + PRIOR) / (n_toxic - t + PRIOR)) - np.log((c + PRIOR) / (n_clean - c + PRIOR))
-    low = delta - CONFIDENCE * np.sqrt(1 / (t + PRIOR) + 1 / (c + PRIOR))
-    best = sorted(((min(TOP, s), w) for s, w in zip(low.tolist(), names) if s >= LEAST), reverse=True)[:MOST]
-    return {w: s for s, w in best}
-
-
 def segments(at: np.ndarray, gain: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of a sequence that gains at ``at`` and else loses ``drift``.
 
-    Linear: a stack of candidates, merged while the one before starts lower and ends lower.
+    Linear: every candidate knows the nearest one before it that starts lower, so a candidate that was passed over once
+    is not looked at again.
     """
-    stack: list[tuple[int, int, float, float]] = []  # first, last, sum before it, sum after it
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, sum before it, sum after it, the one that starts lower
     total, before = 0.0, -1
     for i, s in zip(at.tolist(), gain.tolist()):
         total -= drift * (i - before - 1)
         before = i
         first, left, right = i, total, total + s
-        total = right
-        while stack:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][2] < left), -1)
-            if k < 0 or stack[k][3] >= right:
+        total, lower = right, len(stack) - 1
+        while True:
+            while lower >= 0 and stack[lower][2] >= left:
+                lower = stack[lower][4]
+            if lower < 0 or stack[lower][3] >= right:
                 break
-            first, left = stack[k][0], stack[k][2]
-            del stack[k:]
-        stack.append((first, i, left, right))
-    return [(f, l, r - b) for f, l, b, r in stack]
+            first, _, left, _, up = stack[lower]
+            del stack[lower:]
+            lower = up
+        stack.append((first, i, left, right, lower))
+    return [(f, l, r - b) for f, l, b, r, _ in stack]
 
 
 def gains(words: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -102,76 +103,120 @@ def _memo(model: Model) -> _Scores:
 
 
 def value(text: str, model: Model) -> tuple[float, list[tuple[int, int, float]], list[str]]:
-    """Extreme value of the best segment, the segments by word numbers, the words."""
+    """Extreme value of the best segment (the least there is without one), the segments by word numbers, the words."""
     words = _WORD.findall(text.lower())
     at, gain = gains(words, model)
-    found = segments(at, gain) if len(at) else []
-    best = max((s for *_, s in found), default=0.0)
-    return model.rate * best - float(np.log(max(1, len(words)))), found, words
+    if not len(at):
+        return -RANGE, [], words
+    found = segments(at, gain)
+    x = model.rate * max(s for *_, s in found) - float(np.log(max(FLOOR, len(words))))
+    return max(-RANGE, min(RANGE, x)), found, words
 
 
-def learn(texts: list[str], labels: list[int]) -> Model | None:
-    """A model from labelled texts; None without both labels."""
-    y = np.array(labels)
-    if not (y == 1).any() or not (y == 0).any():
-        return None
-    pairs: list[set] = [set(), set()]
-    for t, k in zip(texts, labels):
-        w = _WORD.findall(t.lower())
-        pairs[k].update(zip(chain([""], w), w))
-    n = [len(p) for p in pairs]
-    count = [Counter(w for _, w in p) for p in pairs]
-    words = log_odds(count[1], count[0], n[1], n[0])
-    stems: dict[str, float] = {}
-    for size in STEMS:
-        parts = [Counter() for _ in range(2)]
-        for k in (0, 1):
-            for w, m in count[k].items():
-                if len(w) >= size:
-                    parts[k][w[:size]] += m
-        stems |= log_odds(parts[1], parts[0], n[1], n[0])
-    model = Model(words, stems, 1.0, 0.0, 1.0)
-    # lambda from what clean text gains by chance, with half a token more than was seen
-    memo, seen, total = _memo(model), Counter(), 1
-    for w, m in count[0].items():
-        total += m
-        if s := memo[w]:
-            seen[round(s, 1)] += m
-    seen[TOP] += 0.5
+def drift_rate(seen: dict[float, float], total: float) -> float:
+    """lambda from how often clean text gains which score, with half a token more than was seen."""
+    seen = {**seen, TOP: seen.get(TOP, 0.0) + 0.5}
     low, high = 1e-3, 20.0
     for _ in range(60):
         mid = (low + high) / 2
         over = sum(m / total * np.exp(mid * s) for s, m in seen.items()) + (1 - sum(seen.values()) / total) * np.exp(-mid * DRIFT) > 1
         low, high = (low, mid) if over else (mid, high)
-    model = model._replace(rate=low)
-    x = np.clip([value(t, model)[0] for t in texts], -12, 12)
-    goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
+    return low
+
+
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope over values ``x`` with labels ``y``, each seen ``n`` times; goals are held off 0 and 1.
+
+    Texts without evidence stand where a text of FLOOR words would that scores nothing.  Newton steps are halved until
+    the (slightly penalised) likelihood grows, so labels that a value parts cleanly don't run away.
+    """
+    x = np.maximum(x, -np.log(FLOOR))
+    n1, n0 = float(n[y == 1].sum()), float(n[y == 0].sum())
+    goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     theta, design = np.array([0.0, 1.0]), np.stack([np.ones(len(x)), x], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-design @ theta))
-        hess = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        theta = theta + np.linalg.solve(hess, design.T @ (goal - p) - 1e-3 * theta)
-    return model._replace(a=float(theta[0]), b=float(theta[1]))
+
+    def gain(t: np.ndarray) -> float:
+        z = design @ t
+        return float(n @ (goal * z - np.logaddexp(0, z)) - 5e-4 * t @ t)
+
+    for _ in range(100):
+        p = 0.5 * (1 + np.tanh(design @ theta / 2))
+        hess = design.T @ (design * (n * p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, design.T @ (n * (goal - p)) - 1e-3 * theta)
+        while np.abs(step).max() > 1e-9 and gain(theta + step) <= gain(theta):
+            step = step / 2
+        theta = theta + step
+        if np.abs(step).max() <= 1e-9:
+            break
+    return float(theta[0]), max(0.0, float(theta[1]))
+
+
+_PAIRS = pa.schema([("toxic", pa.int32()), ("before", pa.string()), ("word", pa.string())])
+_SEEN = pa.schema([("score", pa.float64()), ("n", pa.int64())])
+_VALUES = pa.schema([("toxic", pa.int32()), ("x", pa.int32())])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 64):
+        for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            words = _WORD.findall(text.lower())
+            found = list(set(zip(chain([""], words), words)))
+            for k in range(0, len(found), 1 << 16):
+                some = found[k : k + (1 << 16)]
+                yield table(_PAIRS, [toxic] * len(some), [x for x, _ in some], [w for _, w in some])
+
+
+def _log_odds(counts: DataFrame, n: tuple[int, int]) -> dict[str, float]:
+    """Of ``counts`` (name, t, c) the tokens whose log-odds exceed LEAST with confidence, with their lower bound."""
+    t, c = F.col("t") + PRIOR, F.col("c") + PRIOR
+    delta = F.log(t / (n[1] + 2 * PRIOR - t)) - F.log(c / (n[0] + 2 * PRIOR - c))
+    low = delta - CONFIDENCE * F.sqrt(1 / t + 1 / c)
+    best = counts.where(F.col("t") >= SUPPORT).select("name", F.least(low, F.lit(TOP)).alias("s")).where(F.col("s") >= LEAST)
+    return {r.name: r.s for r in best.orderBy(F.desc("s"), F.desc("name")).limit(MOST).collect()}  # the model: MOST at most
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """Learns from at most ``per_class`` labelled documents of each kind, the first by hash of doc_id."""
+    """Learns from at most ``per_class`` labelled documents of each kind, by hash of doc_id; None without both labels.
+
+    Words are counted where texts are read, once per distinct pair; the driver gets the model, a histogram of what clean
+    words score and one of the documents' values.
+    """
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    some = some[0].unionByName(some[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = whole_texts(docs).join(F.broadcast(some), "doc_id").withColumn("one", F.lit(1))
+    some = first_by_hash(known, "doc_id", "toxic", per_class).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # 2 per_class rows
+    rows = stored(whole_texts(docs).join(F.broadcast(some), "doc_id").select("toxic", "text"), "toxic-sample")
+    pairs = rows.mapInArrow(_pairs, "toxic int, before string, word string").distinct()
+    counts = pairs.groupBy(F.col("word").alias("name")).agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
+    counts = stored(counts, "toxic-counts")
+    n = tuple(counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first())
+    if rows.select("toxic").distinct().count() < 2:
+        return None
+    words, stems = _log_odds(counts, n), {}
+    for size in STEMS:
+        part = counts.where(F.length("name") >= size).groupBy(F.substring("name", 1, size).alias("name")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        stems |= _log_odds(part, n)
+    model = Model(words, stems, 1.0, 0.0, 1.0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST words and 3 MOST stems at most
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        m = learn(group["text"].to_pylist(), group["toxic"].to_pylist())
-        if m is None:
-            return pa.table({"words": pa.array([], pa.map_(pa.string(), pa.float64())), "stems": pa.array([], pa.map_(pa.string(), pa.float64())), "rate": pa.array([], pa.float64()), "a": pa.array([], pa.float64()), "b": pa.array([], pa.float64())})
-        maps = [pa.array([list(x.items())], pa.map_(pa.string(), pa.float64())) for x in (m.words, m.stems)]
-        return pa.table(dict(zip(Model._fields, [*maps, [m.rate], [m.a], [m.b]])))
+    def clean_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, seen = _memo(shared.value), {}
+        for b in batches:
+            for w, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if s := memo[w]:
+                    seen[round(s, 1)] = seen.get(round(s, 1), 0) + m
+        yield table(_SEEN, list(seen), list(seen.values()))
+
+    seen = counts.where("c > 0").select("name", "c").mapInArrow(clean_scores, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
+    model = model._replace(rate=drift_rate({r.score: r.n for r in seen.orderBy("score").collect()}, n[0] + 1))  # 10 TOP rows at most
+    fitted = docs.sparkSession.sparkContext.broadcast(model)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield table(_VALUES, b.column(0), [round(value(t, fitted.value)[0] / STEP) for t in b.column(1).to_pylist()])
 
-    schema = "words map<string,double>, stems map<string,double>, rate double, a double, b double"
-    got = rows.groupBy("one").applyInArrow(run, schema).collect()
-    return Model(*got[0]) if got else None
+    held = rows.mapInArrow(values, "toxic int, x int").groupBy("toxic", "x").agg(F.count("*").alias("n")).orderBy("toxic", "x").collect()
+    y, x, n = (np.array([r[i] for r in held], float) for i in range(3))  # 4 RANGE / STEP rows at most
+    a, b = logistic(x * STEP, y, n)
+    return model._replace(a=a, b=b)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_passages", pa.int64()), ("passages", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("e_value", pa.float64())])))])
@@ -192,7 +237,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     found.append([])
                     continue
                 x, segs, words = value(t, m)
-                scores.append(float(1 / (1 + np.exp(-(m.a + m.b * max(-12.0, min(12.0, x)))))))
+                scores.append(float(0.5 * (1 + np.tanh((m.a + m.b * x) / 2))))
                 e = [(f, l, float(len(words) * np.exp(-m.rate * s))) for f, l, s in segs]
                 found.append([{"first": f, "last": l, "e_value": v} for f, l, v in e if v < 0.01])
             yield table(_SCORED, b.column(0), scores, list(map(len, found)), found)
