@@ -6,30 +6,37 @@ Around every base span the words of a window are its context.  The co-occurrence
 number ...) tells how much of the entity the term gives away: with *distinct texts* as events,
 ``PMI(t, c) / IC(c) = 1 + ln p(c | t) / -ln p(c)``.  For p(c | t) stands the lower end of its confidence interval (Wilson,
 ``Z``), so few events need a clearer case and no number of them is asked for.  A term that reaches ``threshold`` of what
-is to be known about an entity is a span of its own (kind ``term``) wherever it stands, in whichever text; ``sanitise``
-replaces base spans by their kind and generalises such terms.
+is to be known about an entity is a span of its own (kind ``term``) wherever it stands, in whichever text.
+
+``sanitise`` replaces base spans by their kind.  Terms are generalised along the vocabulary: the classes of a term are the
+words that begin like it (``STEMS`` letters), and the narrowest class that discloses none of the entities the term does
+takes its place (``zorb*``); a term whose every class discloses is removed (``<TERM>``).
 
 Every count is one of distinct texts, so copies of a document are no evidence; texts that repeat one context about the
 entity weigh as one in the interval.  The event that brings a pair up is no evidence for it, only what repeats it is.
-Null text is empty and has no spans; repeated rows are rows of their own.  Term counts cover the whole corpus: fixed
-bitmaps (128 KB) of hashes only spare counting words that can't matter.
+Counts cover the whole corpus: fixed bitmaps (128 KB) of hashes only spare counting words that can't matter.
+
+Null text is empty and has no spans; rows that repeat a doc_id are rows of their own; an empty table gives an empty
+result.  ``detect`` reads ``doc_id`` and ``text`` only; ``sanitise`` passes all other columns through, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.llm.common import slices, stored, table, whole_texts
+from netspark.llm.common import free_name, slices, stored, table, whole_texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
-BITS, WINDOW, Z, THRESHOLD = 20, 100, 1.2816, 0.9  # Z: 90 % of one side
+BITS, WINDOW, Z, THRESHOLD, STEMS = 20, 100, 1.2816, 0.9, (6, 4, 2)  # Z: 90 % of one side
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -68,7 +75,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if _DIGIT.search(text):
         if "." in text:
             for m in _IP.finditer(text):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split(".")):
                     out.append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
@@ -82,31 +89,46 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
-    """(entity, term, start, end, context) for the whole words around each span that no base span touches."""
+def _touched(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span has a character in [start, end); ``spans`` are ordered by start."""
+    starts, ends = [a for _, a, _ in spans], list(accumulate((b for _, _, b in spans), max))
+    return lambda a, b: (k := bisect_left(starts, b)) > 0 and ends[k - 1] > a
+
+
+def _sign(s: str) -> int:
     from xxhash import xxh64_intdigest
 
-    sign = lambda s: xxh64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
+    return xxh64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
+
+
+def classes(word: str) -> list[str]:
+    """A lower-case word and the classes it can be generalised to, the narrowest first."""
+    return [word, *(f"{word[:k]}*" for k in STEMS if k < len(word))]
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> Iterator[tuple[int, str, int]]:
+    """(entity, term, context) for the whole words around each span that no base span touches."""
+    touched = _touched(spans)
     for kind, a, b in spans:
         shown = text[a:b].lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[a:b])
         low, high = max(0, a - window), min(len(text), b + window)
-        entity, where = sign(f"{kind}:{shown}"), sign(text[low:a] + "\0" + text[b:high])
+        entity, where = _sign(f"{kind}:{shown}"), _sign(text[low:a] + "\0" + text[b:high])
         for side, end in ((low, a), (b, high)):
             for m in _TERM.finditer(text, side, end):
                 s, e = m.span()
                 cut = (s == low and s > 0 and text[s - 1].isalnum()) or (e == high and e < len(text) and text[e].isalnum())
-                if not cut and not any(x < e and s < y for _, x, y in spans):
-                    yield entity, sign(m[0].lower()), s, e, where
+                if not cut and not touched(s, e):
+                    yield entity, m[0].lower(), where
 
 
-_NEAR = pa.schema([("text_hash", pa.int64()), ("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])
+_NEAR = pa.schema([("text_hash", pa.int64()), ("entity", pa.int64()), ("term", pa.int64()), ("level", pa.int32()), ("class", pa.int64()), ("context", pa.int64())])
 _FOUND = pa.schema(
     [("doc_id", pa.int64()), ("text_hash", pa.int64())]
     + [("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]
     + [("hits", pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))]
 )
 _FOUND_DDL = "doc_id long, text_hash long, spans array<struct<kind:string,start:int,end:int>>, hits array<struct<term:long,start:int,end:int>>"
-_COUNT = pa.schema([("text_hash", pa.int64()), ("term", pa.int64()), ("n", pa.int64())])
+_COUNT = pa.schema([("text_hash", pa.int64()), ("class", pa.int64()), ("n", pa.int64())])
 
 
 class _Marks:
@@ -123,22 +145,18 @@ class _Marks:
         return np.unpackbits(np.frombuffer(self.shared.value, np.uint8)).astype(bool)
 
 
-def _lookup(wanted: np.ndarray):
-    """Hash of a lower-case word if the bitmap has it, else none; remembers words."""
-    from xxhash import xxh64_intdigest
+class _Wanted(dict):
+    """From a lower-case word to the hashes, of its own and of its classes, that a bitmap has; remembers words."""
 
-    memo: dict[str, int | None] = {}
+    def __init__(self, wanted: np.ndarray, whole: bool = False):
+        self.wanted, self.whole = wanted, whole
 
-    def term(w: str) -> int | None:
-        if w in memo:
-            return memo[w]
-        h = xxh64_intdigest(w.encode("utf-8", "replace")) - (1 << 63)
-        if len(memo) > 200_000:
-            memo.clear()
-        memo[w] = h if wanted[h & ((1 << BITS) - 1)] else None
-        return memo[w]
-
-    return term
+    def __missing__(self, w: str) -> tuple[int, ...]:
+        found = tuple(h for h in map(_sign, [w] if self.whole else classes(w)) if self.wanted[h & ((1 << BITS) - 1)])
+        if len(self) > 200_000:
+            self.clear()
+        self[w] = found
+        return found
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -146,14 +164,18 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def near_terms(docs: DataFrame) -> DataFrame:
-    """(text_hash, entity, term, context) for the terms around base spans; no texts."""
+    """(text_hash, entity, term, level, class, context) for the terms around base spans (level 0) and their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = {(h, c, w, where) for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) for c, w, _, _, where in contexts(t, base_spans(t))}
-            yield table(_NEAR, *(zip(*out) if out else [[]] * 4))
+            out = set()
+            for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                for entity, word, where in contexts(t, base_spans(t)):
+                    names = list(map(_sign, classes(word)))
+                    out.update((h, entity, names[0], k, x, where) for k, x in enumerate(names))
+            yield table(_NEAR, *(zip(*out) if out else [[]] * 6))
 
-    return _hashed(docs).mapInArrow(run, "text_hash long, entity long, term long, context long").distinct()
+    return _hashed(docs).mapInArrow(run, "text_hash long, entity long, term long, level int, class long, context long").distinct()
 
 
 def _reaches(pairs: DataFrame, hits, tries, total: int, threshold: float) -> DataFrame:
@@ -165,31 +187,32 @@ def _reaches(pairs: DataFrame, hits, tries, total: int, threshold: float) -> Dat
     return pairs.where((hits > 0) & (1 + F.log(F.greatest(low, F.lit(1e-300))) / ic >= threshold))
 
 
-def revealing(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, term): pairs in which the term discloses the entity beyond the threshold."""
+def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(entity, class, level): terms (level 0) and classes of terms that disclose the entity beyond the threshold."""
     events = stored(near_terms(docs), "pii-events")
     copies = stored(_hashed(docs).groupBy("text_hash").agg(F.count("*").alias("n")), "pii-copies")
     total = max(2, copies.count())
     of_entity = events.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    in_texts = events.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair"))
-    in_contexts = events.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_context"))
-    pairs = in_texts.join(in_contexts, ["entity", "term"]).join(of_entity, "entity")
+    kind = ["entity", "class", "level"]
+    in_texts = events.select(*kind, "text_hash").distinct().groupBy(*kind).agg(F.count("*").alias("n_pair"))
+    in_contexts = events.select(*kind, "context").distinct().groupBy(*kind).agg(F.count("*").alias("n_context"))
+    pairs = in_texts.join(in_contexts, kind).join(of_entity, "entity")
     pairs = pairs.withColumn("own", F.least("n_pair", "n_context").cast("double"))
     # what can't reach the threshold even if the term stood nowhere else needs no count
     pairs = stored(_reaches(pairs, F.col("own") - 1, F.col("own") - 1, total, threshold), "pii-pairs")
-    terms, repeated = _Marks(pairs.select("term")), _Marks(copies.where("n > 1").select("text_hash"))
+    names, repeated = _Marks(pairs.select("class")), _Marks(copies.where("n > 1").select("text_hash"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, several = terms.read(), repeated.read()
+        wanted, several = names.read(), repeated.read()
         if not wanted.any():
             return
-        term, seen, done = _lookup(wanted), Counter(), set()
+        of, seen, done = _Wanted(wanted), Counter(), set()
         for b in slices(batches):
             own: list[tuple[int, int]] = []
             for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if h in done:
                     continue
-                here = {x for x in map(term, {w.lower() for w in _TERM.findall(t)}) if x is not None}
+                here = set().union(*map(of.__getitem__, {w.lower() for w in _TERM.findall(t)}))
                 if several[h & ((1 << BITS) - 1)]:  # may stand in other tasks, too: counted apart
                     if len(done) > 100_000:
                         done.clear()
@@ -204,11 +227,29 @@ def revealing(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 seen.clear()
         yield table(_COUNT, [None] * len(seen), list(seen), list(seen.values()))
 
-    counts = stored(_hashed(docs).mapInArrow(count, "text_hash long, term long, n long"), "pii-counts")
+    counts = stored(_hashed(docs).mapInArrow(count, "text_hash long, class long, n long"), "pii-counts")
     once = counts.where("text_hash is not null").distinct()
-    counts = counts.where("text_hash is null").unionByName(once).groupBy("term").agg(F.sum("n").alias("n_term"))
-    judged = pairs.join(counts, "term")
-    return _reaches(judged, F.col("own") - 1, F.col("own") * F.col("n_term") / F.col("n_pair") - 1, total, threshold).select("entity", "term")
+    counts = counts.where("text_hash is null").unionByName(once).groupBy("class").agg(F.sum("n").alias("n_class"))
+    pairs = pairs.join(counts, "class")
+    found = _reaches(pairs, F.col("own") - 1, F.col("own") * F.col("n_class") / F.col("n_pair") - 1, total, threshold)
+    found = stored(found.select(*kind), "pii-judged")
+    # which classes stand above a term that discloses: one row a term, entity and level
+    ladder = events.select("entity", "term", "level", "class").distinct()
+    terms = found.where("level = 0").select("entity", F.col("class").alias("term"))
+    return ladder.join(terms, ["entity", "term"]).join(found.withColumn("tells", F.lit(True)), kind, "left").select("entity", "term", "level", F.coalesce("tells", F.lit(False)).alias("tells"))
+
+
+def revealing(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(term, letters): terms that disclose an entity beyond the threshold, and how many letters may stay.
+
+    ``letters`` is the length of the narrowest class that discloses none of the term's entities, 0 where there is none.
+    """
+    told = judged(docs, threshold).groupBy("term", "level").agg(F.max("tells").alias("tells"))
+    letters = F.element_at(F.array(*map(F.lit, STEMS)), F.lit(1 + len(STEMS)) - F.col("left"))
+    free = told.groupBy("term").agg(F.min(F.when(~F.col("tells"), F.col("level"))).alias("level"), F.max("level").alias("top"))
+    # a short word has fewer classes: the widest is the last of STEMS always
+    left = F.col("top") - F.col("level") + 1
+    return free.withColumn("left", left).select("term", F.when(F.col("level").isNull(), 0).otherwise(letters).alias("letters"))
 
 
 def scan(docs: DataFrame, terms: _Marks) -> DataFrame:
@@ -216,20 +257,16 @@ def scan(docs: DataFrame, terms: _Marks) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = terms.read()
-        any_wanted, term = bool(wanted.any()), _lookup(wanted)
+        any_wanted, of = bool(wanted.any()), _Wanted(wanted, whole=True)
         for b in slices(batches):
             spans, hits = [], []
             for t in b.column(1).to_pylist():
                 found, some = base_spans(t), []
-                if any_wanted and any(term(w.lower()) is not None for w in set(_TERM.findall(t))):
-                    at = 0
-                    by_end = sorted(found, key=lambda s: s[2])
+                if any_wanted and any(of[w.lower()] for w in set(_TERM.findall(t))):
+                    touched = _touched(found)
                     for m in _TERM.finditer(t):
-                        if (h := term(m[0].lower())) is not None:
-                            while at < len(by_end) and by_end[at][2] <= m.start():
-                                at += 1
-                            if not any(a < m.end() for _, a, _ in by_end[at:]):
-                                some.append({"term": h, "start": m.start(), "end": m.end()})
+                        if (h := of[m[0].lower()]) and not touched(*m.span()):
+                            some.append({"term": h[0], "start": m.start(), "end": m.end()})
                 spans.append([dict(zip(("kind", "start", "end"), s)) for s in found])
                 hits.append(some)
             yield table(_FOUND, b.column(0), b.column(2), spans, hits)
@@ -237,17 +274,21 @@ def scan(docs: DataFrame, terms: _Marks) -> DataFrame:
     return _hashed(docs).mapInArrow(run, _FOUND_DDL)
 
 
+_SPANS = "array<struct<kind:string,start:int,end:int,letters:int>>"
+
+
 def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, text_hash, spans (array of kind, start, end in order; base spans and terms)."""
-    terms = stored(revealing(docs, threshold).select("term").distinct(), "pii-terms")
-    found = stored(scan(docs, _Marks(terms)).withColumn("row", F.monotonically_increasing_id()), "pii-spans")
+    """Per row: doc_id, text_hash, spans (array of kind, start, end and, of terms, letters that may stay; in order)."""
+    terms = stored(revealing(docs, threshold), "pii-terms")
+    found = stored(scan(docs, _Marks(terms.select("term"))).withColumn("row", F.monotonically_increasing_id()), "pii-spans")
     hits = found.select("row", F.explode("hits").alias("x")).select("row", "x.term", "x.start", "x.end")
-    more = hits.join(terms, "term", "left_semi").select("row", "start", "end")
-    more = more.groupBy("row").agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("more"))
+    more = hits.join(terms, "term").select("row", "start", "end", "letters")
+    more = more.groupBy("row").agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", "letters")).alias("more"))
     listed = F.array(*map(F.lit, KINDS))
-    all_ = F.concat("spans", F.coalesce("more", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")))
-    keyed = F.transform(all_, lambda s: F.struct(s["start"].alias("start"), F.array_position(listed, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
-    ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(0).alias("letters")))
+    all_ = F.concat(base.cast(_SPANS), F.coalesce(F.col("more").cast(_SPANS), F.expr(f"cast(array() as {_SPANS})")))
+    keyed = F.transform(all_, lambda s: F.struct(s["start"].alias("start"), F.array_position(listed, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"), s["letters"].alias("letters")))
+    ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["letters"].alias("letters")))
     return found.drop("hits").join(more, "row", "left").select("doc_id", "text_hash", ordered.alias("spans"))
 
 
@@ -261,11 +302,11 @@ def digest(spans: DataFrame) -> DataFrame:
 
 
 def replaced(text: str, spans: list) -> str:
-    """``text`` with each run of overlapping spans replaced by the kind of its first."""
+    """``text`` with each run of overlapping spans replaced by what its first is: a kind, or a term's wider class."""
     out, at = [], 0
-    for kind, a, b in spans:
+    for kind, a, b, letters in spans:
         if a >= at:
-            out += [text[at:a], f"<{kind.upper()}>"]
+            out += [text[at:a], f"{text[a : a + letters]}*" if letters else f"<{kind.upper()}>"]
         at = max(at, b)
     return "".join(out) + text[at:]
 
@@ -275,19 +316,19 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Where there is an ``n_chars`` column it follows the new text.
     """
-    spans = detect(docs, threshold).where(F.size("spans") > 0).select(F.col("text_hash").alias("__hash"), F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    spans = spans.dropDuplicates(["__hash", "__id"])
+    h, i, s = (free_name(docs, x) for x in ("text_hash", "id_of_spans", "spans"))
+    spans = detect(docs, threshold).where(F.size("spans") > 0).select(F.col("text_hash").alias(h), F.col("doc_id").alias(i), F.col("spans").alias(s))
+    spans = spans.dropDuplicates([h, i])
 
     @F.pandas_udf("string")
     def put(text, found):
         import pandas as pd
 
-        one = lambda t, s: t if s is None else replaced(t, [(x["kind"], x["start"], x["end"]) for x in s])
+        one = lambda t, s: t if s is None else replaced(t, [(x["kind"], x["start"], x["end"], x["letters"]) for x in s])
         return pd.Series([one(t, s) for t, s in zip(text, found)], dtype=object)
 
-    key = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    out = docs.join(spans, key, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(put("text", "__spans")))
+    key = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i))
+    out = docs.join(spans, key, "left").withColumn("text", F.when(F.col(s).isNull(), F.col("text")).otherwise(put("text", s)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(s).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
-
