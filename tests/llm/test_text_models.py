@@ -1,9 +1,11 @@
 import hashlib
 import io
+import math
 import random
 import re
+import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -44,8 +46,81 @@ def test_base_spans_against_plain_patterns():
 
 
 def test_linear_on_long_runs():
-    for t in ("1" * 200_000, "a" * 200_000 + "@", "1." * 50_000, "+1" * 50_000, "@" * 100_000, "1 " * 100_000):
+    for t in ("1" * 200_000, "a" * 200_000 + "@", "1." * 50_000, "+1" * 50_000, "@" * 100_000, "1 " * 100_000, "0" * 200_000 + ".0.0.0", "0" * 5000 + "1.0.0.0"):
         pii.base_spans(t)
+    assert pii.base_spans("0" * 5000 + ".0.0.0") == [("ip", 0, 5006)] and pii.base_spans("0" * 5000 + "256.0.0.0") == []
+
+
+def seconds(f, *args):
+    best = 9e9
+    for _ in range(3):
+        began = time.perf_counter()
+        f(*args)
+        best = min(best, time.perf_counter() - began)
+    return best
+
+
+def test_contexts_are_linear_in_spans():
+    def run(n):
+        t = " ".join(f"some words a{i}@b{i}.org" for i in range(n))
+        return seconds(lambda: sum(1 for _ in pii.contexts(t, pii.base_spans(t))))
+
+    assert run(4000) < 9 * run(1000)
+
+
+def plain_judged(texts, threshold=pii.THRESHOLD):
+    """(entity, class): what discloses, from sets of texts, without hashes, bitmaps or tasks."""
+    texts = {t or "" for t in texts}
+    has, near, where, of = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    for t in texts:
+        for w in set(re.findall(r"[^\W\d_]{4,}", t)):
+            for c in pii.classes(w.lower()):
+                has[c].add(t)
+        for entity, word, context in pii.contexts(t, pii.base_spans(t)):
+            of[entity].add(t)
+            for c in pii.classes(word):
+                near[entity, c].add(t)
+                where[entity, c].add(context)
+    out = set()
+    for (entity, c), found in near.items():
+        own = min(len(found), len(where[entity, c]))
+        hits, n = own - 1, max(1e-9, own * len(has[c]) / len(found) - 1)
+        p, z2 = min(1, hits / n), pii.Z**2
+        low = (p + z2 / 2 / n - pii.Z * math.sqrt(p * (1 - p) / n + z2 / 4 / n / n)) / (1 + z2 / n)
+        ic = -math.log(min(0.5, len(of[entity]) / max(2, len(texts))))
+        if hits > 0 and 1 + math.log(max(low, 1e-300)) / ic >= threshold:
+            out.add((entity, c))
+    return out, near
+
+
+def test_disclosure_against_brute_force(spark):
+    rng = random.Random(8)
+    syllables = "ba ke li mo nu ra so ti vu zy".split()
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(2, 5))) for _ in range(300)]
+    texts = []
+    for i in range(700):
+        t = [rng.choice(words) for _ in range(rng.randint(3, 30))]
+        if i % 5 == 0:
+            k = rng.randrange(6)
+            t += [f"person{'abcdef'[k]}", f"p{k}@corp.com", rng.choice(words)]
+        texts.append(" ".join(t))
+    texts += texts[:60] + [None, ""]
+    for threshold in (0.9, 0.6, 0.3):
+        want, near = plain_judged(texts, threshold)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+        told = {(r.entity, r.term, r.level): r.tells for r in pii.judged(docs, threshold).collect()}
+        sign = pii._sign
+        expect = {}
+        for entity, c in want:
+            if "*" not in c:
+                for level, x in enumerate(pii.classes(c)):
+                    expect[entity, sign(c), level] = (entity, x) in want
+        assert told == expect and len(told) > 5
+        letters = {r.term: r.letters for r in pii.revealing(docs, threshold).collect()}
+        for term in {c for _, c in want if "*" not in c}:
+            holders = [e for e, c in want if c == term]
+            stay = [x for x in pii.classes(term)[1:] if not any((e, x) in want for e in holders)]
+            assert letters[sign(term)] == (len(stay[0]) - 1 if stay else 0)
 
 
 def test_revealing_terms(spark):
@@ -92,11 +167,20 @@ def test_terms_are_marked_wherever_they_stand(spark):
     assert clean[50] == "without any address <TERM> stands here" and "orblatt" not in clean[0]
 
 
+def test_terms_are_generalised_before_they_are_removed(spark):
+    few = [(i, f"{chr(97 + i) * 5} Zorblatt words boss@corp.com about {chr(97 + i) * 6}") for i in range(20)]
+    docs = few + plain_corpus(4000) + [(50_000 + i, f"a word like zorbing{'x' * (i % 40)} number {i}") for i in range(400)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert clean[0] == "aaaaa Zorb* words <EMAIL> about aaaaaa" and clean[50_000] == "a word like zorbing number 0"
+
+
 def test_pii_rows(spark):
     docs, empty = frames(spark)
     got = Counter((r.doc_id, r.base_sha256) for r in pii.digest(pii.detect(docs)).collect())
     sha = lambda t: hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(t or "")).encode()).hexdigest()
     assert got == Counter((r[0], sha(r[1])) for r in rows())
+    clash = docs.selectExpr("*", "1 as text_hash", "2 as id_of_spans", "'x' as spans")
+    assert pii.sanitise(clash).columns == clash.columns and pii.sanitise(clash).count() == len(rows())
     assert pii.detect(empty).count() == 0 and pii.sanitise(docs).count() == len(rows()) and pii.sanitise(empty).count() == 0
 
 
@@ -129,6 +213,65 @@ def test_segments_against_brute_force():
         assert got == brute_segments(score.tolist())
 
 
+def test_segments_are_linear():
+    def run(n):
+        return seconds(toxicity.segments, np.arange(n) * 20, np.full(n, 1.0), 0.1)
+
+    assert run(64_000) < 10 * run(16_000)
+
+
+def plain_learn(rows_):
+    """The whole of learning without Spark: counts of distinct pairs, bounds, lambda, values, logistic curve."""
+    pairs = [{(a, b) for t, k in rows_ if k == kind for w in [re.findall(r"\w+", t.lower())] for a, b in zip(["", *w], w)} for kind in (0, 1)]
+    counts, n = [Counter(b for _, b in p) for p in pairs], [len(p) for p in pairs]
+
+    def odds(t, c):
+        out = {}
+        for w, k in t.items():
+            if k >= toxicity.SUPPORT:
+                x, y = k + 0.5, c[w] + 0.5
+                s = math.log(x / (n[1] + 1 - x)) - math.log(y / (n[0] + 1 - y)) - 2 * math.sqrt(1 / x + 1 / y)
+                if min(s, 8) >= 1.2:
+                    out[w] = min(s, 8)
+        return out
+
+    words, stems = odds(counts[1], counts[0]), {}
+    for size in (6, 5, 4):
+        parts = [Counter() for _ in range(2)]
+        for kind in (0, 1):
+            for w, m in counts[kind].items():
+                if len(w) >= size:
+                    parts[kind][w[:size]] += m
+        stems |= odds(parts[1], parts[0])
+    score = lambda w: max(words.get(w, 0), 0, *(stems.get(w[:k], 0) for k in (6, 5, 4) if len(w) >= k))
+    seen = Counter()
+    for w, m in counts[0].items():
+        if score(w):
+            seen[round(score(w), 1)] += m
+    model = toxicity.Model(words, stems, toxicity.drift_rate(dict(seen), n[0] + 1), 0, 1)
+    x = np.array([round(toxicity.value(t, model)[0], 2) for t, _ in rows_])
+    y = np.array([k for _, k in rows_], float)
+    a, b = toxicity.logistic(x, y, np.ones(len(x)))
+    return model._replace(a=a, b=b)
+
+
+def test_learning_against_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"{c}{i}lex" for i in range(60) for c in "abcd"]
+    data = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 90))) + (" vilest word Vileness" * rng.randint(0, 3) if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([(r[0], r[2]) for r in data], "doc_id long, toxic int")
+    want, got = plain_learn([r[1:] for r in data]), toxicity.fit(docs, known)
+    assert got.words == pytest.approx(want.words) and got.stems == pytest.approx(want.stems) and got.words
+    assert (got.rate, got.a, got.b) == pytest.approx((want.rate, want.a, want.b), rel=1e-3)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, got).collect()}
+    for i, t, _ in data:
+        x = toxicity.value(t, want)[0]
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-(want.a + want.b * x))), abs=1e-3)
+    few = toxicity.fit(docs, known, per_class=20)
+    assert few is None or len(few.words) <= len(got.words)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]
@@ -149,6 +292,8 @@ def test_toxicity_held_out(spark):
     case, empty = frames(spark)
     model = toxicity.fit(docs, known)
     assert toxicity.score(case, model).where("score between 0 and 1").count() == len(rows())
+    short = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(0, None), (1, ""), (2, "Hello"), (3, "w1 w2 w3"), (4, "?!"), (5, "scumword vile"), (6, " ".join(words))], "doc_id long, text string"), model).collect()}
+    assert len({short[i] for i in (0, 1, 2, 3, 4, 6)}) == 1 and short[0] < 0.2 and short[5] > short[0] == min(short.values())
     assert toxicity.score(empty, model).count() == 0 and toxicity.fit(docs, known.where("toxic = 0")) is None
     assert toxicity.score(case, None).agg(F.max("score")).first()[0] == 0
 
@@ -164,11 +309,11 @@ def test_language_held_out(spark):
     for i in range(600):
         k = "xyz"[i % 3] * 2
         out.append((i, " ".join(word(k) for _ in range(rng.randint(5, 60))), k))
-    out += [(1000, None, "xx"), (1001, "12 34 --", "yy"), (1002, "", None)]
+    out += [(1000, None, "xx"), (1001, "12 34 --", "yy"), (1002, "", None), (1003, "\u00bd \u00b2", "xx"), (1004, "\u2167", None)]
     docs = spark.createDataFrame(out, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in language.identify(docs).collect()}
     assert all(got[i].lang_pred == k for i, _, k in out[:600])
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in range(1000, 1005))
     langs, logp = language.fit(docs)
     mixed = " ".join([word("xx") for _ in range(60)] + [word("yy") for _ in range(30)])
     share = language.proportions(language.trigrams(mixed), logp)
@@ -178,6 +323,63 @@ def test_language_held_out(spark):
     assert language.identify(case).count() == len(rows()) and language.identify(empty).count() == 0
 
 
+def plain_mixture(text, logp, penalty):
+    """Expectation-maximisation over every single trigram, and the penalised choice of languages by plain loops."""
+    codes = language.trigrams(text).tolist()
+    p = np.exp(logp)
+
+    def em(cols, pi):
+        for _ in range(12 if len(cols) > 1 else 0):
+            new = [0.0] * len(cols)
+            for c in codes:
+                mix = sum(w * p[c, k] for w, k in zip(pi, cols))
+                for j, k in enumerate(cols):
+                    new[j] += pi[j] * p[c, k] / mix
+            pi = [x / len(codes) for x in new]
+        return pi, sum(math.log(sum(w * p[c, k] for w, k in zip(pi, cols))) for c in codes)
+
+    cols = list(range(p.shape[1]))
+    pi, best = em(cols, [1 / len(cols)] * len(cols))
+    while len(cols) > 1:
+        drop = pi.index(min(pi))
+        less = [k for j, k in enumerate(cols) if j != drop]
+        rest = [x for j, x in enumerate(pi) if j != drop]
+        new, value = em(less, [x / sum(rest) for x in rest] if len(less) > 1 else [1.0])
+        if best - value > penalty + 0.5 * math.log(len(codes)):
+            break
+        cols, pi, best = less, new, value
+    out = np.zeros(p.shape[1])
+    out[cols] = pi
+    return out
+
+
+def test_mixture_against_brute_force():
+    rng = np.random.default_rng(9)
+    words = [["ba", "bi", "bo"], ["kra", "kri"], ["\u00f1o", "lu", "ba"], ["zu", "wei"]]
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    counts = np.stack([np.bincount(language.trigrams(text(k, 500)), minlength=language.BINS) for k in range(4)], 1)
+    logp = np.log((counts + 0.5) / (counts + 0.5).sum(0))
+    seen = set()
+    for parts in ((0,), (1, 2), (0, 2), (0, 1, 2, 3), (3, 3, 1)):
+        t = " ".join(text(k, int(rng.integers(3, 40))) for k in parts)
+        for penalty in (0.5, 30.0):
+            got, want = language.proportions(language.trigrams(t), logp, penalty), plain_mixture(t, logp, penalty)
+            assert got == pytest.approx(want, abs=1e-6)
+            seen.add(int((want > 0).sum()))
+    assert len(seen) > 1
+    long = "ba kri \u00f1o " * 60_000
+    assert [x.tolist() for x in language.counted(long)] == [x.tolist() for x in np.unique(language.trigrams(long), return_counts=True)]
+
+
+def test_bounded_sample(spark):
+    from netspark.llm.common import first_by_hash
+
+    docs = spark.range(5000).selectExpr("id as doc_id", "if(id % 10 = 0, 'few', 'many') as lang").unionByName(spark.createDataFrame([(None, None)], "doc_id long, lang string"))
+    got = Counter(r.lang for r in first_by_hash(docs, "doc_id", "lang", 100).collect())
+    assert got == {"few": 100, "many": 100}
+    assert first_by_hash(docs, "doc_id", "lang", 4000).count() == 4500
+
+
 # ---- media
 
 
