@@ -5,18 +5,25 @@ A byte goes when a string of ``length`` bytes that covers it also starts anywher
 Sampling.  Of the 32-byte grams in each window of ``length`` bytes the one with the least hash (the leftmost on ties)
 is the window's *anchor*; equal windows have equal anchors at equal places, so comparing suffixes at anchors loses no
 match.  Consecutive windows with one anchor form a *run*, about one in ``length / 2`` bytes.  A batch's suffix array
-holds one entry a run, ordered by anchor gram and then by the fingerprint (128 bits) of all the run's bytes.
+holds one entry a run, ordered by anchor gram and then by the BLAKE2b digest (128 bits) of all the run's bytes.
+
+Runs that repeat inside a stretch of one text are settled there: one of them goes on as an entry that stands twice, of the
+others only the merged intervals of their windows.  So periodic text, which has a run a byte, gives an entry for each
+byte of its period and one interval.
 
 Family.  Each new batch gets its suffix array; while a level of the same rank exists the two are merge-scanned into one
 of the next rank, equal entries falling together with their counts.  The remaining levels are scanned against each
-other at the end.  An entry that occurs twice settles all windows of its runs.
+other at the end.  An entry that occurs twice settles all windows of its runs.  A family can be stored, opened again and
+given further batches; ``known`` tells which entries of a batch the levels hold already.
 
 Rims.  Where a repeated passage begins or ends inside a run, the run shares its anchor with others but not all its
 bytes.  One run of each different entry then sends its bytes, keyed by the half of the window around the anchor that
-every one of its windows must hold, and the members of a key compare their windows one by one.  Keys with very many
-members compare by a distributed count instead.  No pair of documents is ever enumerated.
+every one of its windows must hold, and the members of a key compare their windows, byte by byte where their rolling
+hashes agree.  Keys with very many members compare digests of their windows by a distributed count instead.  No pair of
+documents is ever enumerated.
 
-Matches never cross documents.  Null text is empty; rows that repeat a doc_id and text are copies of each other.
+Matches never cross documents.  Null text is empty; rows that repeat a doc_id and text are copies of each other; an
+empty table gives an empty result; columns other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +36,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm.common import shared_dir, slices, stored, table, whole_texts
+from netspark.llm.common import passing, shared_dir, slices, stored, table, whole_texts
 
-LENGTH, GRAM, CHUNK, BATCHES, HOT = 400, 32, 1 << 18, 4, 100_000
+LENGTH, GRAM, CHUNK, BATCHES, HOT = 400, 32, 1 << 18, 4, 20_000
 
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -73,6 +80,14 @@ def _hash(sums: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[np.ndarr
     return [(s[b - 7] - s[a]) * inv[a] for s, inv in zip(sums, _inverse())]
 
 
+def _digests(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of each [a, b) as two numbers."""
+    raw = memoryview(np.ascontiguousarray(buf))
+    both = b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), b.tolist()))
+    pair = np.frombuffer(both, "<u8").reshape(-1, 2)
+    return pair[:, 0].copy(), pair[:, 1].copy()
+
+
 def runs_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
     """Runs of the texts [starts, ends) of ``buf``: text number, first and last window, anchor, gram, fingerprints."""
     n, grams = len(buf), length - GRAM + 1
@@ -102,10 +117,31 @@ def runs_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
     first = at[np.concatenate([[0], new])]
     last = at[np.concatenate([new - 1, [len(at) - 1]])]
     anchor = anchor[np.concatenate([[0], new])]
-    u1, u2 = _hash(_sums(x), first, last + length)
+    u1, u2 = _digests(buf, first, last + length)
     return {"text": np.searchsorted(starts, first, "right") - 1, "first": first, "last": last, "anchor": anchor, "gram": g[anchor], "u1": u1, "u2": u2}
 
 
+def settled(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Of runs as from ``runs_of``: which go on, how often each stands here (2 means more), and (text, first, last) of
+    the merged windows of the others, which repeat one that goes on."""
+    n = len(r["first"])
+    order = np.lexsort((np.arange(n), r["u2"], r["u1"], r["gram"], r["text"]))
+    same = np.zeros(n, bool)
+    if n:
+        same[1:] = np.logical_and.reduce([r[c][order][1:] == r[c][order][:-1] for c in ("text", "gram", "u1", "u2")])
+    stays = np.sort(order[~same])
+    times = np.ones(n, np.int64)
+    times[order[:-1][same[1:] & ~same[:-1]]] = 2  # the first of several
+    out: list[list[int]] = []
+    for i in np.sort(order[same]).tolist():
+        t, a, z = int(r["text"][i]), int(r["first"][i]), int(r["last"][i])
+        if out and out[-1][0] == t and a <= out[-1][2] + 1:
+            out[-1][2] = max(out[-1][2], z)
+        else:
+            out.append([t, a, z])
+    return stays, times[stays], [tuple(x) for x in out]
+
+
 def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Texts, or overlapping stretches of long ones, in chunks of bounded size: numbers, offsets, bytes."""
     number, offset, held, size = [], [], [], 0
@@ -123,11 +159,14 @@ def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
         yield number, offset, held
 
 
-_RUN = pa.schema([(c, pa.int64()) for c in ("doc_id", "hash")] + [(c, pa.int32()) for c in ("first", "last", "anchor")] + [(c, pa.int64()) for c in ("gram", "u1", "u2")])
+_RUN = pa.schema([(c, pa.int64()) for c in ("doc_id", "hash")] + [(c, pa.int32()) for c in ("first", "last", "anchor")] + [(c, pa.int64()) for c in ("gram", "u1", "u2")] + [("times", pa.int8())])
 
 
 def runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Entries of every text, with their places."""
+    """Entries of every text, with their places and how often they stand there (``times``: 1, or 2 for more).
+
+    Rows with 0 times are no entries but windows ``first`` to ``last`` that repeat others of the same text.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
@@ -136,38 +175,73 @@ def runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 sizes = np.array(list(map(len, held)))
                 starts = np.cumsum(sizes) - sizes
                 r = runs_of(np.frombuffer(b"".join(held), np.uint8), starts, starts + sizes, length)
-                move = np.array(offset)[r["text"]] - starts[r["text"]]
-                rows = [number[k] for k in r["text"].tolist()]
-                places = [r[c] + move for c in ("first", "last", "anchor")]
-                yield table(_RUN, [ids[k] for k in rows], [hashes[k] for k in rows], *places, *(r[c].view(np.int64) for c in ("gram", "u1", "u2")))
+                stays, times, again = settled(r)
+                move = np.array(offset) - starts
+                rows = [number[k] for k in r["text"][stays].tolist()]
+                places = [r[c][stays] + move[r["text"][stays]] for c in ("first", "last", "anchor")]
+                yield table(_RUN, [ids[k] for k in rows], [hashes[k] for k in rows], *places, *(r[c][stays].view(np.int64) for c in ("gram", "u1", "u2")), times)
+                if again:
+                    rows, none = [number[t] for t, _, _ in again], [None] * len(again)
+                    firsts, lasts = [a + int(move[t]) for t, a, _ in again], [z + int(move[t]) for t, _, z in again]
+                    yield table(_RUN, [ids[k] for k in rows], [hashes[k] for k in rows], firsts, lasts, none, none, none, none, [0] * len(again))
 
-    return texts.mapInArrow(make, "doc_id long, hash long, first int, last int, anchor int, gram long, u1 long, u2 long")
+    return texts.mapInArrow(make, "doc_id long, hash long, first int, last int, anchor int, gram long, u1 long, u2 long, times byte")
 
 
 ENTRY = ("gram", "u1", "u2")
 
 
 class SuffixFamily:
-    """Levels of ranks 0, 1, 2 ...: a level of rank r stands for 2 ** r batches."""
+    """Levels of ranks 0, 1, 2 ...: a level of rank r stands for 2 ** r batches, ordered by ``ENTRY``.
 
-    def __init__(self) -> None:
+    ``folder`` keeps the levels beyond the application, one Parquet table each and a table ``levels`` that lists them.
+    """
+
+    def __init__(self, folder: str | None = None) -> None:
         self.levels: dict[int, DataFrame] = {}
+        self.folder = folder
+        self.paths: dict[int, str] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> SuffixFamily:
+        family = cls(folder)
+        for r in spark.read.parquet(f"{folder}/levels").collect():  # a row a level
+            family.paths[r.rank], family.levels[r.rank] = r.path, spark.read.parquet(f"{folder}/{r.path}")
+        return family
 
     @staticmethod
     def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.unionByName(b).groupBy(*ENTRY).agg(F.sum("n").alias("n"), F.min("one").alias("one"))
 
+    @staticmethod
+    def array(batch: DataFrame) -> DataFrame:
+        """The suffix array of rows of ``runs``: gram, u1, u2, n (how often), one (a run that has it)."""
+        place = F.xxhash64("doc_id", "hash", "first")  # names one run of each entry
+        return batch.where("times > 0").groupBy(*ENTRY).agg(F.sum("times").cast("long").alias("n"), F.min(place).alias("one"))
+
     def add(self, batch: DataFrame) -> None:
         """``batch``: rows of ``runs``.  Makes its suffix array and merges levels of equal rank."""
-        place = F.xxhash64("doc_id", "hash", "first")  # names one run of each entry
-        level = batch.groupBy(*ENTRY).agg(F.count("*").alias("n"), F.min(place).alias("one"))
-        rank = 0
+        level, rank = self.array(batch), 0
         while rank in self.levels:
             level = self._merge(self.levels.pop(rank), level)
+            self.paths.pop(rank, None)
             rank += 1
-        self.levels[rank] = stored(level.sortWithinPartitions(*ENTRY), f"suffix-level-{rank}")
-
-    def entries(self) -> DataFrame:
+        level = level.sortWithinPartitions(*ENTRY)
+        if self.folder is None:
+            self.levels[rank] = stored(level, f"suffix-level-{rank}")
+            return
+        spark, path = batch.sparkSession, f"level-{rank}-{uuid.uuid4().hex}"
+        level.write.option("compression", "zstd").parquet(f"{self.folder}/{path}")
+        self.paths[rank], self.levels[rank] = path, spark.read.schema(level.schema).parquet(f"{self.folder}/{path}")
+        listed = spark.createDataFrame(sorted(self.paths.items()), "rank int, path string")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/levels")
+
+    def known(self, batch: DataFrame) -> DataFrame:
+        """Entries of a new batch that some level holds, without adding them."""
+        held = self.entries()
+        return self.array(batch).limit(0) if held is None else self.array(batch).join(held.select(*ENTRY), list(ENTRY), "left_semi")
+
+    def entries(self) -> DataFrame | None:
         """All levels scanned against each other: gram, u1, u2, n (how often), one (a run that has it)."""
         out = None
         for rank in sorted(self.levels):
@@ -180,9 +254,11 @@ def matches(made: DataFrame, entries: DataFrame) -> DataFrame:
     several = entries.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram", F.lit(True).alias("several"))
     known = entries.join(several, "gram", "left").where("n > 1 or several").withColumn("several", F.coalesce("several", F.lit(False)))
     place = F.xxhash64("doc_id", "hash", "first")
-    return made.join(known, list(ENTRY)).select(
+    found = made.where("times > 0").join(known, list(ENTRY)).select(
         "doc_id", "hash", "first", "last", "anchor", "gram", (F.col("n") > 1).alias("full"), (F.col("several") & (F.col("one") == place)).alias("send")
     )
+    again = made.where("times = 0").select("doc_id", "hash", "first", "last", "anchor", "gram", F.lit(True).alias("full"), F.lit(False).alias("send"))
+    return found.unionByName(again)
 
 
 def covered(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -302,6 +378,11 @@ def _compare(parts: DataFrame, length: int) -> DataFrame:
         group = np.searchsorted(keys, np.array(rows["key"])[pick])[part]
         order = np.lexsort((prints[:, 1], prints[:, 0], group))
         same = (prints[order][1:] == prints[order][:-1]).all(1) & (group[order][1:] == group[order][:-1])
+        bodies, firsts = [rows["bytes"][i] for i in pick], [rows["first"][i] for i in pick]
+        for k in np.flatnonzero(same).tolist():  # rolling hashes may collide: bytes decide
+            (p, i), (q, j) = ((int(part[x]), int(at[x])) for x in (order[k], order[k + 1]))
+            i, j = i - firsts[p], j - firsts[q]
+            same[k] = bodies[p][i : i + length] == bodies[q][j : j + length]
         twice = np.zeros(len(order), bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
         twice &= np.array([rows["own"][i] for i in pick])[part]
@@ -334,9 +415,11 @@ def _compare_hot(parts: DataFrame, length: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
             r = b.to_pydict()
-            part, at, prints = _windows(r["first"], r["bytes"], length)
-            p = part.tolist()
-            yield table(_WINDOW, [r["doc_id"][i] for i in p], [r["hash"][i] for i in p], at, [r["own"][i] for i in p], *(prints[:, i].copy().view(np.int64) for i in (0, 1)))
+            for i, body in enumerate(r["bytes"]):
+                n = len(body) - length + 1
+                k = np.arange(n)
+                pair = _digests(np.frombuffer(body, np.uint8), k, k + length)
+                yield table(_WINDOW, [r["doc_id"][i]] * n, [r["hash"][i]] * n, r["first"][i] + k, [r["own"][i]] * n, *(x.view(np.int64) for x in pair))
 
     made = parts.select("doc_id", "hash", "first", "own", "bytes").mapInArrow(make, "doc_id long, hash long, start int, own boolean, w1 long, w2 long")
     made = stored(made, "suffix-windows")
@@ -354,6 +437,7 @@ def without_repeats(docs: DataFrame, finish: Finish, length: int = LENGTH, batch
     # a batch is a share of the documents
     made = runs(texts, length).withColumn("batch", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(batches)))
     made.write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    passing(spark, path)
     made = spark.read.schema(made.schema).parquet(path)
     family = SuffixFamily()
     for k in range(batches):
