@@ -3,12 +3,13 @@
 Texts are equal when they are identical after lower-casing A-Z only (bytes of UTF-8 otherwise untouched).  Equal texts
 of one Arrow batch are first folded into one *local group*, so a text that a third of all rows share crosses the
 network once a batch, not once a row.  The local groups are dealt out by sampled splitters over the first bytes of
-their normalised text and its hash (``repartitionByRange``), sorted externally by all bytes there, and neighbours are compared in full by the window over equal bytes.
-The group that results is joined back to its local groups by their small id, never by text, so no task collects the
-rows of a large group.
+their normalised text, its hash and their own number (``repartitionByRange``), sorted externally by all bytes there, and
+neighbours are compared in full.  The number lets a text with very many local groups span partitions; the groups at a
+partition's rims are compared once more with each other, at most a few a partition.  Only numbers are joined back.
 
 Null text counts as empty.  Rows that repeat a ``doc_id`` are rows of their own; a null ``doc_id`` never outranks a
-number.  An empty table gives an empty result.  Columns other than ``doc_id`` and ``text`` are not read.
+number.  An empty table gives an empty result.  Columns other than ``doc_id`` and ``text`` are not read; ``exact_dedup``
+passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.llm.common import slices, stored, table, whole_texts
+from netspark.llm.common import free_name, slices, stored, table, whole_texts
 
 PREFIX = 32
 
@@ -45,6 +47,47 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(some)
 
 
+_MEMBER = pa.schema([("local", pa.int64()), ("group", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("rim", pa.binary())])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the groups of equal neighbours of a sorted partition (local, norm, id, n, first, hash).
+
+    Groups whose text may go on in the partition before or after also give a row with their bytes (``rim``): those that
+    share the first or the last hash.
+    """
+    group = (TaskContext.get().partitionId() << 36) - 1
+    last, held, opening = None, [], True  # the last row's hash and bytes; groups of its hash
+
+    def rims() -> pa.RecordBatch:
+        none = [None] * len(held)
+        return table(_MEMBER, none, [g for g, _ in held], none, none, none, [x for _, x in held])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        norm, hashes = b.column(1), b.column(5)
+        other = [last is None or last[1] != norm[0].as_py()]
+        if b.num_rows > 1:
+            other += pc.not_equal(norm.slice(1), norm.slice(0, b.num_rows - 1)).to_pylist()
+        groups = []
+        for i, new in enumerate(other):
+            if new:
+                group += 1
+                h = hashes[i].as_py()
+                if last is None or h != last[0]:
+                    if last is not None and opening:
+                        yield rims()
+                        opening = False
+                    held = []
+                last = (h, norm[i].as_py())
+                held.append((group, last[1]))
+            groups.append(group)
+        yield table(_MEMBER, b.column(0), groups, b.column(2), b.column(3), b.column(4), [None] * b.num_rows)
+    if held:
+        yield rims()
+
+
 def _groups(numbered: DataFrame, keep: str) -> DataFrame:
     """One row per row of ``numbered`` (doc_id, text, row): doc_id, row, keep_id, group_size, stays, text_sha256.
 
@@ -52,24 +95,32 @@ def _groups(numbered: DataFrame, keep: str) -> DataFrame:
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
-    best, array_best = (F.max, F.array_max) if keep == "max" else (F.min, F.array_min)
+    array_best = F.array_max if keep == "max" else F.array_min
     local = stored(
         whole_texts(numbered, "row").mapInArrow(_fold, "local long, ids array<long>, rows array<long>, norm binary, sha string"), "content-local"
     )
-    # splitters are a short prefix and a hash, so their sample stays small and a common beginning doesn't pile up
-    keys = ["prefix", "hash"]
-    same = Window.partitionBy(*keys, "norm")
     first = F.array_min(F.transform(F.filter(F.arrays_zip("ids", "rows"), lambda x: x["ids"].eqNullSafe(F.col("id"))), lambda x: x["rows"]))
-    groups = (
+    # splitters are a short prefix, a hash and a number, so their sample stays small and a common text doesn't pile up
+    dealt = (
         local.select("local", "norm", array_best("ids").alias("id"), F.size("ids").cast("long").alias("n"), "ids", "rows")
         .select("local", "norm", "id", "n", first.alias("first"))
         .withColumns({"prefix": F.substring("norm", 1, PREFIX), "hash": F.xxhash64("norm")})
-        .repartitionByRange(*keys)
-        .withColumns({"keep_id": best("id").over(same), "group_size": F.sum("n").over(same)})
-        .withColumn("row_that_stays", F.min(F.when(F.col("id").eqNullSafe(F.col("keep_id")), F.col("first"))).over(same))
-        .select("local", "keep_id", "group_size", "row_that_stays")
+        .repartitionByRange("prefix", "hash", "local")
+        .sortWithinPartitions("prefix", "hash", "norm", "local")
+        .select("local", "norm", "id", "n", "first", "hash")
     )
-    rows = local.select("local", F.arrays_zip("ids", "rows").alias("of"), F.col("sha").alias("text_sha256")).join(groups, "local")
+    found = stored(dealt.mapInArrow(_neighbours, "local long, group long, id long, n long, first long, rim binary"), "content-groups")
+    rims = found.where("rim is not null").groupBy("rim").agg(F.collect_list("group").alias("groups"), F.min("group").alias("root"))
+    rims = rims.where(F.size("groups") > 1).select(F.explode("groups").alias("group"), "root")
+    members = found.where("local is not null").join(rims, "group", "left").withColumn("group", F.coalesce("root", "group"))
+    if keep == "max":
+        best = F.max(F.struct("id", (-F.col("first")).alias("at")))
+    else:
+        best = F.min(F.struct(F.col("id").isNull(), "id", F.col("first").alias("at")))
+    groups = members.groupBy("group").agg(best.alias("b"), F.sum("n").alias("group_size"))
+    groups = groups.select("group", F.col("b.id").alias("keep_id"), "group_size", F.abs("b.at").alias("row_that_stays"))
+    of_local = members.select("local", "group").join(groups, "group").drop("group")
+    rows = local.select("local", F.arrays_zip("ids", "rows").alias("of"), F.col("sha").alias("text_sha256")).join(of_local, "local")
     rows = rows.select("*", F.explode("of").alias("x"))
     return rows.select(
         F.col("x.ids").alias("doc_id"), F.col("x.rows").alias("row"), "keep_id", "group_size",
@@ -93,6 +144,7 @@ def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
 
     Rows are told apart by a number of their own, so null and repeated doc_ids lose no group and leave no copies.
     """
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "content-rows")
-    gone = _groups(numbered.select("doc_id", "text", F.col("__row").alias("row")), keep).where("not stays")
-    return numbered.join(gone.select(F.col("row").alias("__row")), "__row", "left_anti").drop("__row")
+    row = free_name(docs, "row_number")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "content-rows")
+    gone = _groups(numbered.select("doc_id", "text", F.col(row).alias("row")), keep).where("not stays")
+    return numbered.join(gone.select(F.col("row").alias(row)), row, "left_anti").drop(row)
