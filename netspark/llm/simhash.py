@@ -10,7 +10,10 @@ are not compared pair by pair over all rows, only fingerprints that agree on all
 of bits meet (pigeonhole: exact, no link is lost).  In one bucket a search from member to member returns a spanning
 forest of the links, not all pairs: every member leaves the list of the unvisited when it is first reached.
 
-Null and empty texts have fingerprint 0 and link like others.  Nothing is capped or sampled.
+Null and empty texts have fingerprint 0 and link like others.  Rows that repeat a doc_id are rows of their own; a null
+doc_id is a row like others that never names a component (only rows without any id reach no smallest id: null).  An
+empty table gives an empty result.  Columns other than ``doc_id`` and ``text`` are not read; ``one_of_each`` passes them
+through, whatever their names.  Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.llm.common import slices, stored, table, whole_texts
+from netspark.llm.common import free_name, slices, stored, table, whole_texts
 from netspark.operators.components import connected_components
 
 SHINGLE, SEED, RADIUS, PIVOTS, SMALL = 4, 42, 4, 16, 24
@@ -157,7 +160,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     """One row per row of ``docs``: doc_id, fp, component_id (the smallest doc_id that links reach, its own included)."""
     fps = stored(fingerprints(docs, k), "simhash")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = connected_components(links(distinct.select("fp"), radius))
+    found = connected_components(stored(links(distinct.select("fp"), radius), "simhash-links"))
     of_fp = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of_fp.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = of_fp.join(least, "component").select("fp", "component_id")
@@ -169,9 +172,10 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> Data
 
     Of rows that repeat that doc_id, and of rows without any, the first by number stays.
     """
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    of_row = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), k, radius).select(F.col("doc_id").alias("__row"), "component_id")
-    named = of_row.join(numbered.select("__row", "doc_id"), "__row")
-    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("stays"))
-    gone = named.join(best, "component_id").where("__row <> stays").select("__row")
-    return numbered.join(gone, "__row", "left_anti").drop("__row")
+    row = free_name(docs, "row_number")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    of_row = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), k, radius).select(F.col("doc_id").alias("row"), "component_id")
+    named = of_row.join(numbered.select(F.col(row).alias("row"), "doc_id"), "row")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("stays"))
+    gone = named.join(best, "component_id").where("row <> stays").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").drop(row)
