@@ -1,7 +1,8 @@
 """BPE encoding and decoding of whole texts (operator 4); the method is in ``tokens``.
 
 Null text is empty: no ids, empty text.  Special-token strings in a text become their ids, as in the library's
-default.  Texts are encoded where they are read; nothing is shuffled.
+default.  Rows that repeat a doc_id (or have none) are rows of their own; an empty table gives an empty result; columns
+other than ``doc_id`` and ``text`` are not read.  Texts are encoded where they are read; nothing is shuffled.
 """
 
 from __future__ import annotations

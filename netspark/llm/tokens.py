@@ -4,8 +4,9 @@ A byte-level BPE first splits a text into pieces (words with their leading space
 white space) and merges inside each piece only, so a text's ids are its pieces' ids in a row.  ``PieceEncoder`` asks
 the library for the ids of each *distinct* piece and keeps them in a bounded memo.
 
-Pieces that no rule splits can be arbitrarily long.  Those are encoded by **tree concatenation**: leaves of the text
-are encoded as one batch (which the library runs in parallel), and neighbours are joined pairwise up a tree.  At a join
+Pieces that no rule splits can be arbitrarily long.  Those are encoded by **tree concatenation**: shares of the leaves
+are encoded side by side by ``THREADS`` threads (the library works outside the interpreter's lock), and neighbours are
+joined pairwise up a tree, the joins of one level side by side, too.  At a join
 a window of tokens on either side is encoded anew, and the window grows until its first token equals the left side's
 and its last token the right side's.  A BPE token sequence is the encoding of its text exactly when each two
 neighbouring tokens are, so agreement at both rims makes the joined sequence the exact encoding.
@@ -17,6 +18,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
 from functools import cached_property, lru_cache
 from typing import TYPE_CHECKING
@@ -36,7 +38,7 @@ _SAFE = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0
 _WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 
 #: Characters from which a piece counts as long unsplit text, tokens in the first window at a join, pieces kept.
-LONG, LEAF, WINDOW, MEMO = 1024, 512, 4, 400_000
+LONG, LEAF, WINDOW, MEMO, THREADS = 1024, 512, 4, 400_000, 2
 
 
 def tokenizer_path(name: str) -> str:
@@ -220,10 +222,14 @@ class PieceEncoder(dict):
 
     def tree(self, piece: str) -> list[int]:
         """Ids of one unsplit piece by tree concatenation."""
-        sides = self._whole([piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)])
-        while len(sides) > 1:
-            joined = [self.join(a, b) for a, b in zip(sides[::2], sides[1::2])]
-            sides = joined + ([sides[-1]] if len(sides) % 2 else [])
+        leaves = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
+        size = -(-len(leaves) // THREADS)
+        with ThreadPoolExecutor(THREADS) as pool:
+            shares = pool.map(self._whole, [leaves[i : i + size] for i in range(0, len(leaves), size)])
+            sides = [ids for share in shares for ids in share]
+            while len(sides) > 1:
+                joined = list(pool.map(self.join, sides[::2], sides[1::2]))
+                sides = joined + ([sides[-1]] if len(sides) % 2 else [])
         return sides[0]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
