@@ -3,11 +3,13 @@
 A shard holds documents in ascending ``doc_id`` order: their ids one after another (two bytes each where the vocabulary
 allows it, else four), and the ends of the documents as an Elias-Fano sequence: the low ``l`` bits of each end in a
 packed array, the high bits in unary, in about ``2 + log2(ids / documents)`` bits a document.  ``select(i)`` finds the
-i-th one bit through a sampled directory, which gives any document's place without a table of 64-bit offsets.
+i-th one bit through a sampled directory that is stored with the bits, which gives any document's place without a table
+of 64-bit offsets.  The shard's doc_ids, which ascend, are an Elias-Fano sequence of their distances from the first.
 
 Documents are range-partitioned by ``doc_id`` (equal ids: by text), so shards in the order of their numbers concatenate
 to the whole sequence; shards are rows of a Parquet table in the shared folder.  Null text is empty and is the end id
-alone; null doc_ids come first; repeated doc_ids stay rows of their own, in the order of their text's hash.
+alone; null doc_ids come first; repeated doc_ids stay rows of their own, in the order of their text's hash.  An empty
+table gives no shards; columns other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -29,73 +31,84 @@ SHARD_IDS, SAMPLE, BROADCAST_SHARDS = 4 << 20, 256, 1_000_000
 
 
 class EliasFano:
-    """A non-decreasing sequence of ``n`` numbers up to ``top``."""
+    """A non-decreasing sequence of ``n`` numbers, with a directory of every SAMPLE-th one bit."""
 
-    HEAD = struct.Struct("<4sQQB")
+    HEAD = struct.Struct("<4sQQQB")
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        # directory: the byte and rank before every SAMPLE-th one bit
-        counts = np.cumsum(np.bitwise_count(high), dtype=np.int64)
-        self.ones = int(counts[-1]) if len(counts) else 0
-        self.byte_of = np.searchsorted(counts, np.arange(1, self.ones + 1, SAMPLE))
-        self.before = np.where(self.byte_of > 0, counts[self.byte_of - 1] if len(counts) else 0, 0)
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, byte_of: np.ndarray, before: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.byte_of, self.before = n, low_bits, low, high, byte_of, before
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        n, top = len(values), int(values[-1]) if len(values) else 0
+        v = np.asarray(values).astype(np.uint64)
+        n, top = len(v), int(v[-1]) if len(v) else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        v = values.astype(np.uint64)
         bits = (v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
         low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
         marks = np.zeros((top >> low_bits) + n + 1, np.uint8)
         marks[(v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, low_bits, low, np.packbits(marks, bitorder="little"))
+        high = np.packbits(marks, bitorder="little")
+        counts = np.cumsum(np.bitwise_count(high), dtype=np.int64)
+        byte_of = np.searchsorted(counts, np.arange(1, n + 1, SAMPLE))
+        before = np.where(byte_of > 0, counts[byte_of - 1], 0)
+        return cls(n, low_bits, low, high, byte_of.astype("<u4"), before.astype("<u4"))
 
     def select(self, i: int) -> int:
         """The i-th number."""
-        k = i // SAMPLE
-        at, rank = int(self.byte_of[k]), int(self.before[k])
-        while True:
-            ones = int(self.high[at]).bit_count()
-            if rank + ones > i:
-                break
-            rank, at = rank + ones, at + 1
-        byte, pos = int(self.high[at]), -1
-        while rank <= i:
-            pos += 1
-            rank += byte >> pos & 1
-        high, first = 8 * at + pos - i, i * self.low_bits
-        piece = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
-        return high << self.low_bits | piece >> first % 8 & ((1 << self.low_bits) - 1)
-
-    def all(self) -> np.ndarray:
-        """Every number, in one sweep."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.int64)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high << self.low_bits | bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+        return int(self.select_many(np.array([i]))[0])
+
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at places ``i``, side by side: the directory gives the byte to start at, popcounts lead on."""
+        at, rank = self.byte_of[i // SAMPLE].astype(np.int64), self.before[i // SAMPLE].astype(np.int64)
+        walk = np.arange(len(i))
+        while len(walk):
+            ones = np.bitwise_count(self.high[at[walk]])
+            walk, ones = walk[short := rank[walk] + ones <= i[walk]], ones[short]
+            rank[walk] += ones
+            at[walk] += 1
+        bits = np.unpackbits(self.high[at][:, None], axis=1, bitorder="little")
+        pos = (np.cumsum(bits, axis=1) == (i - rank + 1)[:, None]).argmax(1)
+        high = (8 * at + pos - i).astype(np.uint64) << np.uint64(self.low_bits)
+        place = i[:, None] * self.low_bits + np.arange(self.low_bits)
+        low = (self.low[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)
+        return high | np.bitwise_or.reduce(low, axis=1, initial=np.uint64(0))
 
     def to_bytes(self) -> bytes:
-        return self.HEAD.pack(b"EF01", self.n, len(self.low), self.low_bits) + self.low.tobytes() + self.high.tobytes()
+        head = self.HEAD.pack(b"EF02", self.n, len(self.low), len(self.byte_of), self.low_bits)
+        return b"".join([head, self.byte_of.tobytes(), self.before.tobytes(), self.low.tobytes(), self.high.tobytes()])
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> EliasFano:
-        magic, n, size, low_bits = cls.HEAD.unpack_from(raw)
-        if magic != b"EF01":
+        magic, n, size, samples, low_bits = cls.HEAD.unpack_from(raw)
+        if magic != b"EF02":
             raise ValueError("not an Elias-Fano sequence")
-        body = np.frombuffer(raw, np.uint8, offset=cls.HEAD.size)
-        return cls(n, low_bits, body[:size], body[size:])
+        at = cls.HEAD.size
+        byte_of, before = (np.frombuffer(raw, "<u4", samples, at + 4 * k * samples) for k in (0, 1))
+        body = np.frombuffer(raw, np.uint8, offset=at + 8 * samples)
+        return cls(n, low_bits, body[:size], body[size:], byte_of, before)
+
+
+def code_ids(ids: list[int | None]) -> tuple[int, int, bytes]:
+    """Ascending ids, nulls first: how many nulls, the first id, the distances from it."""
+    known = [x for x in ids if x is not None]
+    base = known[0] if known else 0
+    return len(ids) - len(known), base, EliasFano.of(np.array([x - base for x in known], np.uint64)).to_bytes()
+
+
+def ids_at(nulls: int, base: int, coded: bytes, i: np.ndarray) -> list[int | None]:
+    """The ids at ascending places ``i``."""
+    some = i[i >= nulls] - nulls
+    return [None] * (len(i) - len(some)) + [base + x for x in EliasFano.from_bytes(coded).select_many(some).tolist()]
 
 
 _SHARD = pa.schema(
     [("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("id_bytes", pa.int8())]
-    + [("doc_ids", pa.list_(pa.int64())), ("ends", pa.binary()), ("ids", pa.binary())]
+    + [("null_ids", pa.int64()), ("first_id", pa.int64()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary())]
 )
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Encodes and stores ``docs``; the table of shards."""
+def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_ids: int = SHARD_IDS, folder: str | None = None) -> DataFrame:
+    """Encodes and stores ``docs``; the table of shards.  Without a ``folder`` they last as long as the application."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, shard = shared_encoder(path), TaskContext.get().partitionId(), 0
@@ -107,8 +120,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_ids: int = S
 
         def shut() -> pa.RecordBatch:
             ends = np.cumsum(np.array(sizes, np.int64))
-            row = [part], [shard], [len(names)], [int(ends[-1])], [np.dtype(kind).itemsize], [list(names)], [EliasFano.of(ends).to_bytes()], [b"".join(packed)]
-            return table(_SHARD, *row)
+            nulls, base, coded = code_ids(names)
+            row = part, shard, len(names), int(ends[-1]), np.dtype(kind).itemsize, nulls, base, coded, EliasFano.of(ends).to_bytes(), b"".join(packed)
+            return table(_SHARD, *([x] for x in row))
 
         for b in slices(batches, 64):
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist())):
@@ -125,35 +139,48 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_ids: int = S
 
     texts = whole_texts(docs).withColumn("h", F.xxhash64("text"))
     parts = texts.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return stored(parts.mapInArrow(encode, "part int, shard int, n_docs long, n_ids long, id_bytes byte, doc_ids array<long>, ends binary, ids binary"), "token-shards")
+    shards = parts.mapInArrow(encode, "part int, shard int, n_docs long, n_ids long, id_bytes byte, null_ids long, first_id long, doc_ids binary, ends binary, ids binary")
+    if folder is None:
+        return stored(shards, "token-shards")
+    shards.write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(shards.schema).parquet(folder)
 
 
 _PLACE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def read_places(shards: DataFrame) -> DataFrame:
-    """Per document, from the stored shards: doc_id, start, n_tokens, ids_crc32.
+    """Per document, from the stored shards: doc_id, start, n_tokens, ids_crc32; ends and doc_ids come through select.
 
-    The first id of each shard is a running sum over one row a shard (4 million ids each).
+    The first id of each shard is a running sum over the parts (one row a task of the writer) and then over a part's
+    shards (4 million ids each).
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             row = {k: v[0] for k, v in b.to_pydict().items()}
-            ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").astype("<u4")
-            ends = EliasFano.from_bytes(row["ends"]).all()
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts.tolist(), ends.tolist())]
-            yield table(_PLACE, row["doc_ids"], starts + row["first"], ends - starts, crc)
-
-    order = Window.orderBy("part", "shard")
-    first = shards.select("part", "shard", (F.sum("n_ids").over(order) - F.col("n_ids")).alias("first"))
+            ids, ends, n = np.frombuffer(row["ids"], f"<u{row['id_bytes']}"), EliasFano.from_bytes(row["ends"]), row["n_docs"]
+            at = 0
+            for k in range(0, n, 4096):
+                i = np.arange(k, min(n, k + 4096))
+                z = ends.select_many(i).astype(np.int64)
+                a = np.concatenate([[at], z[:-1]])
+                crc = [zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(a.tolist(), z.tolist())]
+                yield table(_PLACE, ids_at(row["null_ids"], row["first_id"], row["doc_ids"], i), a + row["first"], z - a, crc)
+                at = int(z[-1])
+
+    sizes = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    own = Window.partitionBy("part").orderBy("shard")
+    first = shards.select("part", "shard", (F.sum("n_ids").over(own) - F.col("n_ids")).alias("inside")).join(before, "part")
+    first = first.select("part", "shard", (F.col("before") + F.col("inside")).alias("first"))
     if shards.count() <= BROADCAST_SHARDS:  # 24 bytes a shard: 24 MB at most; beyond it the join shuffles
         first = F.broadcast(first)
+    columns = ["n_docs", "id_bytes", "null_ids", "first_id", "doc_ids", "ends", "ids"]
     return (
-        shards.select("part", "shard", "id_bytes", "doc_ids", "ends", "ids")
+        shards.select("part", "shard", *columns)
         .join(first, ["part", "shard"])
-        .select("id_bytes", "doc_ids", "ends", "ids", "first")
+        .select(*columns, "first")
         .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
 
