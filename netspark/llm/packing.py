@@ -2,9 +2,11 @@
 
 Every document becomes its ids plus an end id; only documents longer than a sequence are cut.  Pieces are dealt to
 partitions of about ``PART`` pieces and packed best-fit decreasing.  Dual feasible functions give a lower bound of each
-partition's sequences.  A partition whose count meets its bound is certified; the sequences that leave room, of all
-partitions, give their documents up, which are dealt out anew (so partitions with gaps exchange documents) and packed
-again, over fewer and fewer partitions, until the loose ones meet their joint bound or no round helps.
+partition's sequences.  A partition whose count meets its bound is certified and gives up its roomiest sequence only
+(the one that rounding up left open); a partition with a gap gives up every sequence that leaves more than ``LOOSE`` of
+its room.  What is given up is dealt out anew, so partitions exchange documents, and packed again, over fewer and
+fewer partitions, until the sequences of a round meet the bound of all their ids or ``ROUNDS`` are over; ``gap`` tells how
+many sequences a packing has over the bound of all pieces together.
 
 Null text is empty (the end id alone).  Repeated doc_ids are rows of their own: ``piece`` counts within a row.  An
 empty table gives no pieces.  Packing sees lengths and a row number only; texts are read once and never shuffled.
@@ -75,9 +77,10 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The best of two families of dual feasible functions over the histogram of lengths."""
-    if not len(lengths):
-        return 0
-    size, count = np.unique(lengths, return_counts=True)
+    return histogram_bound(*np.unique(lengths, return_counts=True), capacity) if len(lengths) else 0
+
+
+def histogram_bound(size: np.ndarray, count: np.ndarray, capacity: int) -> int:
     best = -(-int((size * count).sum()) // capacity)
     # large ones fill a bin, small ones vanish
     for eps in size[2 * size <= capacity]:
@@ -91,21 +94,23 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PUT = pa.schema([("row", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("room", pa.int64()), ("bins", pa.int64()), ("bound", pa.int64())])
+_PUT = pa.schema([("row", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("room", pa.int64()), ("certified", pa.bool_()), ("gives", pa.bool_())])
 
 
-def _round(items: DataFrame, parts: int, number: int, capacity: int) -> DataFrame:
+def _round(items: DataFrame, parts: int, number: int, capacity: int, loose: float) -> DataFrame:
     def pack(group: pa.Table) -> pa.Table:
         part, lengths = group["part"][0].as_py(), group["length"].to_numpy()
         order = np.argsort(group["row"].to_numpy(), kind="stable")  # the same whatever order rows arrive in
         bins, offsets, filled = best_fit_decreasing(lengths[order], capacity)
-        n, same = len(lengths), (lambda v: np.full(len(lengths), v, np.int64))
+        room = capacity - filled
+        met = len(filled) == lower_bound(lengths, capacity)
+        gives = (np.arange(len(filled)) == np.argmax(room)) & (room > 0) if met else room > loose * capacity
         ids = bins + (number << 56) + (part << 32)
-        put = [group["row"].to_numpy()[order], lengths[order], ids, offsets, capacity - filled[bins], same(len(filled)), same(lower_bound(lengths, capacity))]
-        return pa.Table.from_batches([table(_PUT, *put)]) if n else _PUT.empty_table()
+        put = [group["row"].to_numpy()[order], lengths[order], ids, offsets, room[bins], np.full(len(lengths), met), gives[bins]]
+        return pa.Table.from_batches([table(_PUT, *put)])
 
     dealt = items.select("row", "length", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(parts)).cast("long").alias("part"))
-    schema = "row long, length long, sequence_id long, offset long, room long, bins long, bound long"
+    schema = "row long, length long, sequence_id long, offset long, room long, certified boolean, gives boolean"
     return dealt.groupBy("part").applyInArrow(pack, schema)
 
 
@@ -114,28 +119,37 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds: i
     done, todo, before = [], items, None
     for number in range(rounds):
         parts = max(1, -(-todo.count() // part))
-        put = stored(_round(todo, parts, number, capacity), f"packed-{number}")
+        put = stored(_round(todo, parts, number, capacity, loose), f"packed-{number}")
         one = put.where("offset = 0")  # a row a sequence
-        bins, held, worst = one.agg(F.count("*"), F.sum(capacity - F.col("room")), F.max(F.col("bins") - F.col("bound"))).first()
+        bins, held, met = one.agg(F.count("*"), F.sum(capacity - F.col("room")), F.min("certified")).first()
         if not bins:
             break
         # nothing is to gain where the sequences of this round meet the bound of all their ids together
-        if bins == -(-held // capacity) or bins == before or number == rounds - 1 or (parts == 1 and not worst):
+        if bins == -(-held // capacity) or bins == before or number == rounds - 1 or (parts == 1 and met):
             done.append(put)
             break
         before = bins if parts == 1 else None
-        open_ = F.col("room") > loose * capacity
-        done.append(put.where(~open_))
-        todo = put.where(open_)
-    else:
-        raise AssertionError
+        done.append(put.where("not gives"))
+        todo = put.where("gives")
     out = done[0] if done else put
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("row", "sequence_id", "offset", (F.col("bins") == F.col("bound")).alias("certified"))
+    return out.select("row", "sequence_id", "offset", "certified")
+
+
+def gap(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """Sequences of a packing (length, sequence_id, offset) and the lower bound of all its pieces together."""
+    sizes = packed.groupBy("length").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("starts")).collect()  # capacity rows
+    if not sizes:
+        return 0, 0
+    size, count, starts = (np.array(x, np.int64) for x in zip(*sorted(map(tuple, sizes))))
+    return int(starts.sum()), histogram_bound(size, count, capacity)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, part: int = PART) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified.
+
+    Columns of ``docs`` other than ``doc_id`` and ``text`` are not read.
+    """
     made = stored(pieces(docs, path, end_id, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return made.join(pack(made.select("row", "length"), capacity, part), "row").drop("row")
