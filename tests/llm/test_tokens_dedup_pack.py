@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from netspark.llm import exact_dedup, packing, roundtrip, simhash, token_output
+from netspark.llm import exact_dedup, near, packing, roundtrip, simhash, token_output
 from netspark.llm.tokens import PieceEncoder, tokenizer_path
 from tests.llm.cases import TEXTS, frames, rows
 
@@ -64,8 +64,13 @@ def test_elias_fano():
     for n in (1, 2, 300, 5000):
         v = np.cumsum(rng.integers(0, 900, n))
         ef = token_output.EliasFano.from_bytes(token_output.EliasFano.of(v).to_bytes())
-        assert ef.all().tolist() == v.tolist()
+        assert ef.select_many(np.arange(n)).tolist() == v.tolist()
         assert [ef.select(i) for i in range(0, n, 7)] == v[::7].tolist()
+    for v in ([0], [5] * 700, [0] * 600 + [2**62], [3, 2**63 + 5, 2**64 - 1], []):
+        ef = token_output.EliasFano.from_bytes(token_output.EliasFano.of(np.array(v, np.uint64)).to_bytes())
+        assert ef.select_many(np.arange(len(v))).tolist() == v
+    for ids in ([None, None, -5, 0, 7, 7, 2**63 - 1], [None], [-(2**63), 2**63 - 1], []):
+        assert token_output.ids_at(*token_output.code_ids(ids), np.arange(len(ids))) == ids
     assert len(token_output.EliasFano.of(np.cumsum(np.full(10_000, 1000))).to_bytes()) < 10_000 * 2
 
 
@@ -114,6 +119,35 @@ def test_null_and_repeated_ids_lose_no_text_and_leave_no_copy(spark):
     assert Counter(r.text.lower() for r in simhash.one_of_each(docs).collect()) == got
 
 
+def test_groups_that_span_partitions(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_fold", one_row_each)
+    docs = spark.range(4000).repartition(7).selectExpr("if(id = 17, null, id) doc_id", "case when id % 3 = 0 then 'Same' when id % 3 = 1 then concat('t', id % 50) else concat('u', id) end text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = defaultdict(list)
+    for d, t in texts.items():
+        want[t.lower()].append(d)
+    for keep, pick in (("max", max), ("min", min)):
+        got = exact_dedup.content_groups(docs, keep).collect()
+        assert len(got) == 4000
+        for r in got:
+            ids = want[texts[r.doc_id].lower()]
+            assert (r.group_size, r.keep_id) == (len(ids), pick((x for x in ids if x is not None), default=None))
+        assert sum(r.kept for r in got) == len(want) == exact_dedup.exact_dedup(docs, keep).count()
+
+
+def one_row_each(batches):
+    """As ``_fold``, but every row is a local group: a common text then has as many as it has rows."""
+    from pyspark import TaskContext
+
+    from netspark.llm.common import slices, table
+
+    at = TaskContext.get().partitionId() << 36
+    for b in slices(batches, 500):
+        norm = [t.encode().lower() for t in b.column(1).to_pylist()]
+        yield table(exact_dedup._LOCAL, range(at, at + b.num_rows), [[i] for i in b.column(0).to_pylist()], [[r] for r in b.column(2).to_pylist()], norm, [hashlib.sha256(x).hexdigest() for x in norm])
+        at += b.num_rows
+
+
 def test_hot_group_is_whole(spark):
     docs = spark.range(30_000).selectExpr("id doc_id", "if(id % 3 = 0, 'Same', concat('t', id)) text")
     got = exact_dedup.content_groups(docs)
@@ -150,6 +184,12 @@ def test_simhash(spark):
     assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == Counter((r[0], fps[r[0]], want[r[0]]) for r in rows() if r[0] is not None)
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.one_of_each(docs).columns == docs.columns
+    every, _ = frames(spark)
+    assert Counter((r.doc_id, r.fp % 2**64) for r in simhash.near_duplicates(every).collect()) == Counter((r[0], naive_fp(r[1] or "")) for r in rows())
+    assert {r.component_id for r in simhash.near_duplicates(every).collect() if r.doc_id is None} == {want[3]}
+    clash = every.withColumnRenamed("ids", "row_number").withColumnRenamed("part", "Row_Number_")
+    for f in (simhash.one_of_each, exact_dedup.exact_dedup, near.one_of_each):
+        assert f(clash).columns == clash.columns and f(clash).count() > 0 and f(clash.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("radius", [0, 2, 4])
@@ -184,11 +224,16 @@ def test_packing(spark):
             at += n
         assert at <= 256
     bound = packing.lower_bound(np.array([r.length for r in got]), 256)
+    from pyspark.sql import SparkSession
+
+    whole = SparkSession.getActiveSession().createDataFrame([(r.length, r.sequence_id, r.offset) for r in got], "length long, sequence_id long, offset long")
+    assert packing.gap(whole, 256) == (len(places), bound) and packing.gap(whole.limit(0), 256) == (0, 0)
     assert bound <= len(places) <= 1.01 * bound + 1
-    for r in docs.where("doc_id is not null and doc_id <> 3").collect():
+    want = defaultdict(list)
+    for r in docs.collect():
         ids = [*ref(r.text), 1]
-        cut = [(k, a, len(ids[a : a + 256]), zlib.crc32(np.array(ids[a : a + 256], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 256))]
-        assert sorted((x.piece, x.start, x.length, x.ids_crc32) for x in per_doc[r.doc_id]) == cut
+        want[r.doc_id] += [(k, a, len(ids[a : a + 256]), zlib.crc32(np.array(ids[a : a + 256], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 256))]
+    assert {d: sorted((x.piece, x.start, x.length, x.ids_crc32) for x in xs) for d, xs in per_doc.items()} == {d: sorted(x) for d, x in want.items()}
     assert packing.pack_documents(empty, WORD).count() == 0
 
 
