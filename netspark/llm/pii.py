@@ -26,17 +26,19 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from netspark.llm.common import free_name, slices, stored, table, whole_texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
 BITS, WINDOW, Z, THRESHOLD, STEMS = 20, 100, 1.2816, 0.9, (6, 4, 2)  # Z: 90 % of one side
+MASK = (1 << BITS) - 1
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -96,8 +98,6 @@ def _touched(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
 
 
 def _sign(s: str) -> int:
-    from xxhash import xxh64_intdigest
-
     return xxh64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
 
 
@@ -136,7 +136,7 @@ class _Marks:
 
     def __init__(self, hashes: DataFrame):
         # at most 2 ** BITS numbers, whatever the corpus
-        slots = [r[0] for r in hashes.select(F.col(hashes.columns[0]).bitwiseAND((1 << BITS) - 1).cast("int")).distinct().collect()]
+        slots = [r[0] for r in hashes.select(F.col(hashes.columns[0]).bitwiseAND(MASK).cast("int")).distinct().collect()]
         bitmap = np.zeros(1 << BITS, bool)
         bitmap[slots] = True
         self.shared = hashes.sparkSession.sparkContext.broadcast(np.packbits(bitmap).tobytes())
@@ -145,18 +145,35 @@ class _Marks:
         return np.unpackbits(np.frombuffer(self.shared.value, np.uint8)).astype(bool)
 
 
-class _Wanted(dict):
-    """From a lower-case word to the hashes, of its own and of its classes, that a bitmap has; remembers words."""
+class _Wanted:
+    """From a lower-case word to the hashes, of its classes and its own, that a bitmap has.
 
-    def __init__(self, wanted: np.ndarray, whole: bool = False):
-        self.wanted, self.whole = wanted, whole
+    A class is wanted wherever a narrower one is (more texts, more contexts), so most words end at their first letters.
+    """
 
-    def __missing__(self, w: str) -> tuple[int, ...]:
-        found = tuple(h for h in map(_sign, [w] if self.whole else classes(w)) if self.wanted[h & ((1 << BITS) - 1)])
-        if len(self) > 200_000:
-            self.clear()
-        self[w] = found
-        return found
+    def __init__(self, wanted: np.ndarray):
+        self.wanted = wanted.tobytes()
+        self.known: dict[str, int | None] = {}
+
+    def of(self, w: str) -> list[int]:
+        out = []
+        for k in reversed(STEMS):
+            if k < len(w):
+                p = w[:k]
+                if p not in self.known:
+                    if len(self.known) > 200_000:
+                        self.known.clear()
+                    h = _sign(f"{p}*")
+                    self.known[p] = h if self.wanted[h & MASK] else None
+                if (h := self.known[p]) is None:
+                    return out
+                out.append(h)
+        h = _sign(w)
+        return [*out, h] if self.wanted[h & MASK] else out
+
+    def word(self, w: str) -> int | None:
+        """The hash of the word itself, if it is wanted."""
+        return found[-1] if (found := self.of(w)) and found[-1] == _sign(w) else None
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -188,7 +205,8 @@ def _reaches(pairs: DataFrame, hits, tries, total: int, threshold: float) -> Dat
 
 
 def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, class, level): terms (level 0) and classes of terms that disclose the entity beyond the threshold."""
+    """(entity, term, level, class, tells): every class of a term that discloses the entity beyond the threshold, the
+    term itself as level 0, and whether the class does, too."""
     events = stored(near_terms(docs), "pii-events")
     copies = stored(_hashed(docs).groupBy("text_hash").agg(F.count("*").alias("n")), "pii-copies")
     total = max(2, copies.count())
@@ -206,14 +224,14 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         wanted, several = names.read(), repeated.read()
         if not wanted.any():
             return
-        of, seen, done = _Wanted(wanted), Counter(), set()
+        find, seen, done = _Wanted(wanted).of, Counter(), set()
         for b in slices(batches):
             own: list[tuple[int, int]] = []
             for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if h in done:
                     continue
-                here = set().union(*map(of.__getitem__, {w.lower() for w in _TERM.findall(t)}))
-                if several[h & ((1 << BITS) - 1)]:  # may stand in other tasks, too: counted apart
+                here = set(chain.from_iterable(map(find, {w.lower() for w in set(_TERM.findall(t))})))
+                if several[h & MASK]:  # may stand in other tasks, too: counted apart
                     if len(done) > 100_000:
                         done.clear()
                     done.add(h)
@@ -236,15 +254,15 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # which classes stand above a term that discloses: one row a term, entity and level
     ladder = events.select("entity", "term", "level", "class").distinct()
     terms = found.where("level = 0").select("entity", F.col("class").alias("term"))
-    return ladder.join(terms, ["entity", "term"]).join(found.withColumn("tells", F.lit(True)), kind, "left").select("entity", "term", "level", F.coalesce("tells", F.lit(False)).alias("tells"))
+    return ladder.join(terms, ["entity", "term"]).join(found.withColumn("tells", F.lit(True)), kind, "left").select("entity", "term", "level", "class", F.coalesce("tells", F.lit(False)).alias("tells"))
 
 
-def revealing(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(term, letters): terms that disclose an entity beyond the threshold, and how many letters may stay.
+def letters_left(ladder: DataFrame) -> DataFrame:
+    """(term, letters) of a ladder as from ``judged``: how many letters of each term may stay.
 
     ``letters`` is the length of the narrowest class that discloses none of the term's entities, 0 where there is none.
     """
-    told = judged(docs, threshold).groupBy("term", "level").agg(F.max("tells").alias("tells"))
+    told = ladder.groupBy("term", "level").agg(F.max("tells").alias("tells"))
     letters = F.element_at(F.array(*map(F.lit, STEMS)), F.lit(1 + len(STEMS)) - F.col("left"))
     free = told.groupBy("term").agg(F.min(F.when(~F.col("tells"), F.col("level"))).alias("level"), F.max("level").alias("top"))
     # a short word has fewer classes: the widest is the last of STEMS always
@@ -253,20 +271,20 @@ def revealing(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def scan(docs: DataFrame, terms: _Marks) -> DataFrame:
-    """Base spans and words that may be terms, per row; no texts."""
+    """Base spans and words that may be terms, per row; no texts.  ``terms``: of terms and all their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = terms.read()
-        any_wanted, of = bool(wanted.any()), _Wanted(wanted, whole=True)
+        any_wanted, word = bool(wanted.any()), _Wanted(wanted).word
         for b in slices(batches):
             spans, hits = [], []
             for t in b.column(1).to_pylist():
                 found, some = base_spans(t), []
-                if any_wanted and any(of[w.lower()] for w in set(_TERM.findall(t))):
+                if any_wanted and (here := {w: h for w in set(_TERM.findall(t)) if (h := word(w.lower())) is not None}):
                     touched = _touched(found)
                     for m in _TERM.finditer(t):
-                        if (h := of[m[0].lower()]) and not touched(*m.span()):
-                            some.append({"term": h[0], "start": m.start(), "end": m.end()})
+                        if m[0] in here and not touched(*m.span()):
+                            some.append({"term": here[m[0]], "start": m.start(), "end": m.end()})
                 spans.append([dict(zip(("kind", "start", "end"), s)) for s in found])
                 hits.append(some)
             yield table(_FOUND, b.column(0), b.column(2), spans, hits)
@@ -279,8 +297,9 @@ _SPANS = "array<struct<kind:string,start:int,end:int,letters:int>>"
 
 def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, text_hash, spans (array of kind, start, end and, of terms, letters that may stay; in order)."""
-    terms = stored(revealing(docs, threshold), "pii-terms")
-    found = stored(scan(docs, _Marks(terms.select("term"))).withColumn("row", F.monotonically_increasing_id()), "pii-spans")
+    ladder = stored(judged(docs, threshold), "pii-ladder")
+    terms = stored(letters_left(ladder), "pii-terms")
+    found = stored(scan(docs, _Marks(ladder.select("class"))).withColumn("row", F.monotonically_increasing_id()), "pii-spans")
     hits = found.select("row", F.explode("hits").alias("x")).select("row", "x.term", "x.start", "x.end")
     more = hits.join(terms, "term").select("row", "start", "end", "letters")
     more = more.groupBy("row").agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", "letters")).alias("more"))

@@ -105,7 +105,7 @@ def test_disclosure_against_brute_force(spark):
             t += [f"person{'abcdef'[k]}", f"p{k}@corp.com", rng.choice(words)]
         texts.append(" ".join(t))
     texts += texts[:60] + [None, ""]
-    for threshold in (0.9, 0.6, 0.3):
+    for threshold in (0.9, 0.4):
         want, near = plain_judged(texts, threshold)
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
         told = {(r.entity, r.term, r.level): r.tells for r in pii.judged(docs, threshold).collect()}
@@ -116,7 +116,7 @@ def test_disclosure_against_brute_force(spark):
                 for level, x in enumerate(pii.classes(c)):
                     expect[entity, sign(c), level] = (entity, x) in want
         assert told == expect and len(told) > 5
-        letters = {r.term: r.letters for r in pii.revealing(docs, threshold).collect()}
+        letters = {r.term: r.letters for r in pii.letters_left(pii.judged(docs, threshold)).collect()}
         for term in {c for _, c in want if "*" not in c}:
             holders = [e for e, c in want if c == term]
             stay = [x for x in pii.classes(term)[1:] if not any((e, x) in want for e in holders)]
