@@ -7,14 +7,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LINE = "array<struct<x:double,y:double>>"
 LINES = f"array<{LINE}>"
 _POINT_T = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-_LINES_T = T.ArrayType(T.ArrayType(_POINT_T))
+LINE_T = T.ArrayType(_POINT_T)
+_LINES_T = T.ArrayType(LINE_T)
 
 
 def point(x, y) -> Column:
@@ -58,6 +59,39 @@ def area(polygon: str) -> Column:
     return 2 * F.element_at(rings, 1) - F.aggregate(rings, F.lit(0.0), lambda s, a: s + a)
 
 
+def valid_polygon(polygon: str) -> Column:
+    """Whether every ring closes, has four points or more and an area (crossings of rings are not looked for)."""
+    ring = lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)) & (ring_area(r) > 0)
+    return F.coalesce((F.size(polygon) > 0) & F.forall(polygon, ring), F.lit(False))
+
+
+def midpoint(line: str) -> Column:
+    """The point half way along a line."""
+    return point_at(line, length(line) / 2)
+
+
+def point_at(line: str, at: Column) -> Column:
+    """The point at a distance along a line."""
+    walk = F.aggregate(
+        steps(line),
+        F.struct(F.lit(0.0).alias("s"), start(line)["x"].alias("x"), start(line)["y"].alias("y")),
+        lambda acc, p: _step(acc, p, at),
+    )
+    return F.struct(walk["x"].alias("x"), walk["y"].alias("y"))
+
+
+def _step(acc: Column, p: Column, at: Column) -> Column:
+    dx, dy = p["b"]["x"] - p["a"]["x"], p["b"]["y"] - p["a"]["y"]
+    n = F.hypot(dx, dy)
+    t = F.when(n == 0, 0.0).otherwise(F.least((at - acc["s"]) / F.when(n == 0, 1.0).otherwise(n), F.lit(1.0)))
+    on = at >= acc["s"]
+    return F.struct(
+        (acc["s"] + n).alias("s"),
+        F.when(on, p["a"]["x"] + t * dx).otherwise(acc["x"]).alias("x"),
+        F.when(on, p["a"]["y"] + t * dy).otherwise(acc["y"]).alias("y"),
+    )
+
+
 def inside(x: Column, y: Column, polygon: Column) -> Column:
     """Ray casting over all rings (even-odd): the interior, with lower and left boundaries."""
 
@@ -95,10 +129,16 @@ def polyline(waypoints: str, m: tuple[float, ...]) -> Column:
 
 
 def segments(lines: DataFrame, key: str, geom: str = "geom") -> DataFrame:
-    """One row per segment: key, seg, x1, y1, x2, y2, at (distance along the line where it begins)."""
-    s = lines.select(key, F.posexplode(steps(geom)).alias("seg", "s"), geom)
-    s = s.select(key, "seg", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"), F.slice(geom, F.lit(1), F.col("seg") + 1).alias("__head"))
-    return s.withColumn("at", length("__head")).drop("__head")
+    """One row per segment: key, seg, x1, y1, x2, y2, at (distance along the line where it begins).
+
+    The distance is a running sum over a line's segments, so a line costs as much as it has vertices.
+    """
+    s = lines.select(key, F.monotonically_increasing_id().alias("line_row"), F.col(geom).alias("geom"))
+    s = s.select(key, "line_row", F.posexplode(steps("geom")).alias("seg", "s"))
+    s = s.select(key, "line_row", "seg", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+    own = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    before = Window.partitionBy("line_row").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    return s.withColumn("at", F.coalesce(F.sum(own).over(before), F.lit(0.0))).drop("line_row")
 
 
 # ---- numpy kernels (one line: an (n, 2) array)
@@ -178,6 +218,42 @@ def is_simple(xy: np.ndarray) -> bool:
     return True
 
 
+def crosses(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two lines share a point."""
+    p, r = a[:-1, None], np.diff(a, axis=0)[:, None]
+    q, s = b[None, :-1], np.diff(b, axis=0)[None]
+    turn = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    d1, d2, d3, d4 = turn(s, p - q), turn(s, p + r - q), turn(r, q - p), turn(r, q + s - p)
+    on = lambda d, o, v, x: (d == 0) & (np.minimum(o, o + v) <= x).all(-1) & (x <= np.maximum(o, o + v)).all(-1)
+    touch = on(d1, q, s, p) | on(d2, q, s, p + r) | on(d3, p, r, q) | on(d4, p, r, q + s)
+    return bool(((np.sign(d1) * np.sign(d2) < 0) & (np.sign(d3) * np.sign(d4) < 0) | touch).any())
+
+
+def polygons_meet(a: list[np.ndarray], b: list[np.ndarray]) -> bool:
+    """Whether two polygons share a point: a ring crosses a ring, or one holds a vertex of the other."""
+    return any(crosses(x, y) for x in a for y in b) or _in(a[0][0], b) or _in(b[0][0], a)
+
+
+def nearest_points(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Distance of two lines and the points of each where it is reached (0 and one shared point where they cross)."""
+    best = (np.inf, a[0], b[0])
+    if crosses(a, b):
+        for i in range(len(a) - 1):
+            for j in range(len(b) - 1):
+                r, s = a[i + 1] - a[i], b[j + 1] - b[j]
+                d = r[0] * s[1] - r[1] * s[0]
+                w = b[j] - a[i]
+                if d != 0 and 0 <= (t := (w[0] * s[1] - w[1] * s[0]) / d) <= 1 and 0 <= (w[0] * r[1] - w[1] * r[0]) / d <= 1:
+                    return 0.0, a[i] + t * r, a[i] + t * r
+    for one, other, turned in ((a, b, False), (b, a, True)):
+        for p in one:
+            at, d = project(other, p)
+            if d < best[0]:
+                q = interpolate(other, [at])[0]
+                best = (d, q, p) if turned else (d, p, q)
+    return best
+
+
 def hausdorff(a: np.ndarray, b: np.ndarray) -> float:
     """Discrete Hausdorff distance: vertices of each to the other line."""
     one = lambda p, q: max(project(q, x)[1] for x in p)
@@ -281,6 +357,29 @@ def course_offset(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["hausdorff", "mean"])
 
 
+@F.pandas_udf(T.BooleanType())
+def polygons_intersect(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([polygons_meet([as_array(r) for r in x], [as_array(r) for r in y]) for x, y in zip(a, b)], dtype=bool)
+
+
+@F.pandas_udf(T.StructType([T.StructField("dist", T.DoubleType()), T.StructField("a", _POINT_T), T.StructField("b", _POINT_T)]))
+def closest(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Distance of two lines and the nearest point of each."""
+    rows = [nearest_points(as_array(x), as_array(y)) for x, y in zip(a, b)]
+    return pd.DataFrame([(d, *_points(np.array([p, q]))) for d, p, q in rows], columns=["dist", "a", "b"])
+
+
+@F.pandas_udf(LINE_T)
+def segmentised(geom: pd.Series, step: pd.Series) -> pd.Series:
+    """A line with vertices added so that none are further apart than ``step``; its own vertices stay."""
+
+    def one(xy: np.ndarray, most: float) -> np.ndarray:
+        parts = [p + (q - p) * np.arange(n)[:, None] / n for p, q in zip(xy, xy[1:]) for n in [max(1, int(np.ceil(np.hypot(*(q - p)) / most)))]]
+        return np.concatenate([*parts, xy[-1:]])
+
+    return pd.Series([_points(one(as_array(g), m)) for g, m in zip(geom, step)])
+
+
 @F.pandas_udf(_POINT_T)
 def representative_point(polygon: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([inner_point([as_array(r) for r in p]) for p in polygon], columns=["x", "y"])

@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
 
     Self-loops keep their node; null ends are ignored.  Raises if ``max_rounds`` don't suffice.
     """
-    pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
+    pairs = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null"))  # read twice
     alone = pairs.where("u = v").select("u")
     now = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netspark.operators.components import connected_components
 from netspark.operators.paths import BROADCAST_EDGES, cheapest, compact, shortest_paths, nearest_source, symmetric, trace
-from netspark.plans.iterate import cut
+from netspark.plans.iterate import cut, free
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -57,13 +58,16 @@ def bridge_gaps(edges: DataFrame, max_gap: float = 300.0) -> DataFrame:
     kept, absent = _split_by_status(edges)
     labels = cut(connected_components(kept))
     main = largest_component(kept, labels)
-    name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
-    linked = absent.join(name("u"), "u", "left").join(name("v"), "v", "left")
-    # a node outside all fragments keeps its own id, below zero so as not to meet a label
-    outside = lambda c: F.coalesce(f"{c}_c", -F.col(c) - 1)
-    linked = linked.select(outside("u").alias("u"), outside("v").alias("v"), F.col("length_m").alias("cost"), "edge")
-    found = cut(nearest_source(linked, main.select(F.col("component").alias("node")), max_gap))
-    fragments = labels.select(F.col("component").alias("node")).distinct()
+    # fragments and the nodes outside all of them get ids of their own, whatever the nodes' ids are
+    ends = symmetric(absent.select("u", "v")).select(F.col("u").alias("node")).distinct()
+    vertex = ends.join(labels, "node", "left").unionByName(labels.join(ends, "node", "left_anti"))
+    vertex = vertex.select("node", F.struct(F.col("component").isNull().alias("outside"), F.coalesce("component", "node").alias("name")).alias("vertex"))
+    vertex = cut(vertex.join(dense_ids(vertex.select(F.col("vertex").alias("node"))).withColumnRenamed("node", "vertex"), "vertex"))
+    at = lambda c: vertex.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+    linked = absent.join(at("u"), "u").join(at("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"), F.col("length_m").alias("cost"), "edge")
+    source = vertex.join(main.select(F.struct(F.lit(False).alias("outside"), F.col("component").alias("name")).alias("vertex")), "vertex", "left_semi")
+    found = cut(nearest_source(linked, source.select(F.col("id").alias("node")).distinct(), max_gap))
+    fragments = vertex.where("not vertex.outside").select(F.col("id").alias("node")).distinct()
     return trace(found, fragments).where("edge is not null").select("edge").distinct()
 
 
@@ -93,24 +97,45 @@ def travel_times(edges: DataFrame, places: DataFrame, limit: float = float("inf"
     return out.select(F.col("origin_place").alias("origin"), "destination", minutes.alias("minutes"))
 
 
+def reachable(times: DataFrame) -> DataFrame:
+    """``origin, reachable``: how many other places each place of ``travel_times`` reaches."""
+    return times.groupBy("origin").agg(F.count_if(F.col("origin") != F.col("destination")).alias("reachable"))
+
+
+def with_connectors(edges: DataFrame, zones: DataFrame, offset: int = 10**12) -> tuple[DataFrame, DataFrame]:
+    """Edges and zone nodes of a surface: each connected zone (zone, node, access, population) becomes a node of its own.
+
+    Zone nodes are numbered from ``offset`` in the order of zones, above every node id; the access leg is an edge.
+    """
+    at = zones.join(dense_ids(zones.select(F.col("zone").alias("node"))).withColumnRenamed("node", "zone"), "zone").withColumn("zone_node", F.col("id") + offset)
+    legs = at.where("node is not null").select(F.col("zone_node").alias("u"), F.col("node").alias("v"), F.col("access").alias("cost"))
+    return edges.select("u", "v", "cost").unionByName(legs), at.drop("id")
+
+
 _ACCESS = pa.schema([("zone", pa.int64()), ("accessibility", pa.float64())])
 
 
-def accessibility(edges: DataFrame, zones: DataFrame, tau: float = 30.0, decay: str = "exp", origins: DataFrame | None = None, limit: float = float("inf")) -> DataFrame:
+def accessibility(
+    edges: DataFrame, zones: DataFrame, tau: float = 30.0, decay: str | Callable[[np.ndarray], np.ndarray] = "exp", origins: DataFrame | None = None, limit: float = float("inf")
+) -> DataFrame:
     """``zone, accessibility``: population of all other zones, weighted by ``exp(-minutes / tau)``.
 
     ``zones``: zone (a node of ``edges``), population (null counts as 0).  The search and the sum run together per
-    origin: no table of pairs is made.  ``limit`` cuts the search off (none by default).  Graphs of more than
-    ``BROADCAST_EDGES`` edges relax in rounds instead.
+    origin: no table of pairs is made.  ``limit`` cuts the search off (none by default).  ``decay`` is "exp", "power"
+    (``minutes ** -tau``, from one minute on) or a function from an array of minutes to weights.  ``origins`` (zone) asks
+    for some zones only.  Graphs of more than ``BROADCAST_EDGES`` edges relax in rounds instead.
     """
-    kernel = {"exp": lambda t: np.exp(-t / tau), "power": lambda t: np.maximum(t, 1.0) ** -tau}[decay]
+    named = {"exp": lambda t: np.exp(-t / tau), "power": lambda t: np.maximum(t, 1.0) ** -tau}
+    kernel = decay if callable(decay) else named[decay]
     pairs = cut(cheapest(edges))
     graph = compact(pairs)
     zones = zones.select("zone", F.coalesce("population", F.lit(0.0)).cast("double").alias("population"))
     wanted = (zones if origins is None else origins).select("zone").distinct()
     if graph is None or zones.count() > BROADCAST_EDGES:
         ways = shortest_paths(pairs, wanted.select(F.col("zone").alias("node")), limit, broadcast=False)
-        weight = F.exp(-F.col("dist") / tau) if decay == "exp" else F.pow(F.greatest("dist", F.lit(1.0)), F.lit(-tau))
+        weight = F.pandas_udf(lambda t: pd.Series(kernel(t.to_numpy())), "double")("dist")
+        if not callable(decay):
+            weight = F.exp(-F.col("dist") / tau) if decay == "exp" else F.pow(F.greatest("dist", F.lit(1.0)), F.lit(-tau))
         got = ways.where("origin <> node").join(zones.select(F.col("zone").alias("node"), "population"), "node")
         got = got.groupBy(F.col("origin").alias("zone")).agg(F.sum(F.col("population") * weight).alias("accessibility"))
         return wanted.join(got, "zone", "left").na.fill(0.0, ["accessibility"])
@@ -167,9 +192,10 @@ def approximate_accessibility(edges: DataFrame, zones: DataFrame, radius: float
 def relative_score(values: DataFrame, column: str = "accessibility", by: list[str] | None = None, q: float = 0.99) -> DataFrame:
     """``score``: ``min(value / q-quantile, 1)`` per group; a missing value stays missing."""
     x = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
-    top = values.groupBy(*(by or [])).agg(F.percentile(x, F.lit(q)).alias("__top"))
-    out = values.join(F.broadcast(top), by) if by else values.crossJoin(F.broadcast(top))  # one row
-    return out.withColumn("score", F.when(x.isNotNull(), F.least(x / F.col("__top"), F.lit(1.0)))).drop("__top")
+    name = free(values, "quantile")
+    top = values.groupBy(*(by or [])).agg(F.percentile(x, F.lit(q)).alias(name))
+    out = values.join(top, by) if by else values.crossJoin(F.broadcast(top))  # one row
+    return out.withColumn("score", F.when(x.isNotNull(), F.least(x / F.col(name), F.lit(1.0)))).drop(name)
 
 
 def scenario_difference(with_: DataFrame, without: DataFrame, key: str = "zone", q: float = 0.99) -> DataFrame:

@@ -7,35 +7,23 @@ from pyspark.sql import functions as F
 
 from netspark.functions import answers as A
 from netspark.functions import geometry as G
+from netspark.plans.iterate import cut, free
 
 
-def features(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """A row a feature, in the order delivered: tile_id, ord and the feature's fields."""
-    return docs.select("tile_id", F.posexplode(f"{doc}.features").alias("ord", "f")).select("tile_id", "ord", "f.*")
+def junction_points(docs: DataFrame, m: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)) -> DataFrame:
+    """Junctions with a position of two numbers on the face, as points of the map (``m``: image to map)."""
+    rows = A.junctions(docs).where(f"size(uv) = 2 and forall(uv, x -> x is not null and x between 0 and {A.FACE})")
+    x, y = G.affine(F.col("uv")[0], F.col("uv")[1], m)
+    return rows.withColumn("point", F.struct(x.alias("x"), y.alias("y")))
 
 
-def reviews(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    return docs.select("tile_id", F.posexplode(f"{doc}.reviews").alias("ord", "r")).select("tile_id", "ord", "r.*")
-
-
-def deviations(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """tile_id, scope, object_id, key, kind, detail."""
-    return docs.select("tile_id", F.explode(f"{doc}.deviations").alias("d")).select("tile_id", "d.*")
-
-
-def junctions(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """Junctions with a usable position."""
-    rows = docs.select("tile_id", F.explode(f"{doc}.junctions").alias("j")).select("tile_id", "j.*")
-    return rows.where("size(uv) = 2 and forall(uv, x -> x is not null)").withColumn("point", F.struct(F.col("uv")[0].alias("x"), F.col("uv")[1].alias("y")))
-
-
-def corrections(docs: DataFrame) -> DataFrame:
-    """Corrected courses as candidates of their own, id ``<feature>-corr``."""
-    r = reviews(docs).where("size(corrected_waypoints_uv) > 0")
-    return r.select(
+def corrections(r: DataFrame) -> DataFrame:
+    """Corrected courses of reviews as candidates of their own, id ``<feature>-corr``."""
+    return r.where("size(corrected_waypoints_uv) > 0").select(
         "tile_id", "ord", F.concat("reviewed_feature_id", F.lit("-corr")).alias("feature_id"), "reviewed_feature_id",
         F.col("corrected_waypoints_uv").alias("waypoints_uv"), F.col("corrected_ok").alias("waypoints_ok"),
         F.when(F.col("proposed_class") == "", "unknown").otherwise(F.col("proposed_class")).alias("proposed_class"),
+        F.array().cast("array<string>").alias("junction_ids"),
         F.array(F.lit("unknown"), F.lit("unknown")).alias("endpoint_flags"), "evidence_note", "uncertainty_note",
     )
 
@@ -53,47 +41,50 @@ def line_of(waypoints: str = "waypoints_uv") -> Column:
 def validate(rows: DataFrame, tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted candidates (with ``geom``) and rejections (feature_id, tile_id, reason): the first rule that fails.
 
+    All of ``CANDIDATE_FIELDS`` are asked for; a column that ``rows`` lacks, or a null in it, is a missing field.
     ``tiles``: tile_id, display_w, display_h.  Of repeated ids the first counts, even if it is rejected later.
     """
-    known = tiles.select("tile_id", "display_w", "display_h", F.lit(True).alias("known"))
-    x = rows.join(known, "tile_id", "left")
-    lacks = [c for c in A.CANDIDATE_FIELDS if c in rows.columns]
-    missing = F.concat_ws(",", *(F.when(F.col(c).isNull(), F.lit(c)) for c in lacks if c in ("feature_id", "tile_id", "waypoints_uv", "proposed_class")))
-    x = x.withColumn("__missing", missing)
-    able = (F.col("__missing") == "") & F.col("known").isNotNull()
-    x = x.withColumn("__nth", F.row_number().over(Window.partitionBy("tile_id", "feature_id", able).orderBy("ord")))
-    flags_ok = F.forall(F.coalesce("endpoint_flags", F.array()), lambda f: f.isin(*A.ENDPOINT_FLAGS))
-    whole = F.forall(F.array(*map(F.lit, A.PROVENANCE_FIELDS)), lambda k: F.coalesce(F.map_contains_key("provenance", k), F.lit(False)))
-    number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    finite = F.forall("waypoints_uv", lambda p: F.forall(p, number))
-    face = F.forall("waypoints_uv", lambda p: p[0].between(F.lit(0.0), F.col("display_w")) & p[1].between(F.lit(0.0), F.col("display_h")))
-    safe = F.when(F.col("waypoints_ok"), line_of())
-    x = x.withColumn("geom", safe)
-    reason = (
-        F.when(F.col("__missing") != "", F.concat(F.lit("missing_fields:"), "__missing"))
-        .when(F.col("known").isNull(), "unknown_tile_id")
-        .when(F.col("__nth") > 1, "duplicate_feature_id")
-        .when(~F.col("pass").isin(*A.PASSES), "pass_not_in_vocabulary")
-        .when(~F.col("proposed_class").isin(*A.CLASSES), "class_not_in_vocabulary")
+    names = [free(rows, n) for n in ("missing_fields", "nth", "known_tile", "display_w", "display_h", "reason")]
+    missing, nth, known, wide, high, reason = names
+    at = tiles.select("tile_id", F.col("display_w").alias(wide), F.col("display_h").alias(high), F.lit(True).alias(known))
+    lacks = [F.lit(c) if c not in rows.columns else F.when(F.col(c).isNull(), F.lit(c)) for c in A.CANDIDATE_FIELDS]
+    x = rows.join(at, "tile_id", "left").withColumn(missing, F.concat_ws(",", *lacks))
+    have = set(rows.columns)
+    col = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    able = (F.col(missing) == "") & F.col(known).isNotNull()
+    x = x.withColumn(nth, F.row_number().over(Window.partitionBy("tile_id", col("feature_id", "string"), able).orderBy("ord")))
+    flags_ok = F.forall(col("endpoint_flags", "array<string>"), lambda f: f.isin(*A.ENDPOINT_FLAGS))
+    whole = F.forall(F.array(*map(F.lit, A.PROVENANCE_FIELDS)), lambda k: F.coalesce(F.map_contains_key(col("provenance", "map<string,string>"), k), F.lit(False)))
+    course = col("waypoints_uv", "array<array<double>>")
+    pairs = F.coalesce((F.size(course) >= 2) & F.forall(course, lambda p: F.coalesce((F.size(p) == 2) & F.forall(p, lambda v: v.isNotNull()), F.lit(False))), F.lit(False))
+    finite = F.forall(course, lambda p: F.forall(p, lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    face = F.forall(course, lambda p: p[0].between(F.lit(0.0), F.col(wide)) & p[1].between(F.lit(0.0), F.col(high)))
+    x = x.withColumn("geom", F.when(pairs, line_of()) if "waypoints_uv" in have else F.lit(None).cast(G.LINE))
+    why = (
+        F.when(F.col(missing) != "", F.concat(F.lit("missing_fields:"), F.col(missing)))
+        .when(F.col(known).isNull(), "unknown_tile_id")
+        .when(F.col(nth) > 1, "duplicate_feature_id")
+        .when(~col("pass", "string").isin(*A.PASSES), f"pass_not_in_{A.PASSES}")
+        .when(~col("proposed_class", "string").isin(*A.CLASSES), "class_not_in_vocabulary")
         .when(~flags_ok, "endpoint_flag_not_in_vocabulary")
         .when(~F.coalesce(whole, F.lit(False)), "incomplete_provenance")
-        .when(~F.col("waypoints_ok"), "waypoints_not_a_polyline")
+        .when(~pairs, "waypoints_not_a_polyline")
         .when(~finite, "non_finite_coordinate")
         .when(~face, "coordinate_outside_map_face")
         .when(G.length("geom") <= 0, "zero_length")
     )
-    x = x.withColumn("reason", reason)
+    x = x.withColumn(reason, why)
     # the kernel sees lines only that passed everything else
-    line = F.when(F.col("reason").isNull(), F.col("geom")).otherwise(F.expr("array(struct(0D as x, 0D as y), struct(1D as x, 0D as y))"))
-    x = x.withColumn("reason", F.coalesce("reason", F.when(~G.simple(line), "self_intersection")))
-    x = x.drop("__missing", "__nth", "known", "display_w", "display_h")
-    return x.where("reason is null").drop("reason"), x.where("reason is not null").select("feature_id", "tile_id", "reason")
+    line = F.when(F.col(reason).isNull(), F.col("geom")).otherwise(F.expr("array(struct(0D as x, 0D as y), struct(1D as x, 0D as y))"))
+    x = x.withColumn(reason, F.coalesce(F.col(reason), F.when(~G.simple(line), "self_intersection"))).drop(missing, nth, known, wide, high)
+    return x.where(F.col(reason).isNull()).drop(reason), x.where(F.col(reason).isNotNull()).select(col("feature_id", "string").alias("feature_id"), "tile_id", F.col(reason).alias("reason"))
 
 
 def last_review(r: DataFrame) -> DataFrame:
     """One review per proposal: of repeated ones the last."""
     w = Window.partitionBy("tile_id", "reviewed_feature_id").orderBy(F.desc("ord"))
-    return r.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    n = free(r, "nth")
+    return r.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def join_reviews(r: DataFrame, proposals: DataFrame, fixed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,18 +138,25 @@ def reviewed_product(proposals: DataFrame, joined: DataFrame, missed: DataFrame,
     return out, left
 
 
+def missed(docs: DataFrame, family: str, provenance: dict[str, str] | None = None) -> DataFrame:
+    """The reviewer's own lines as candidates."""
+    return candidates(A.features(docs, A.MISSED), "C", family, provenance)
+
+
 def tile_products(answers_: DataFrame, tiles: DataFrame, producer: str, reviewer: str, provenance: dict[str, str]) -> dict[str, DataFrame]:
     """All of it for tiles with both answers (tile_id, pass_a, pass_c as text): product, excluded, unmatched, rejected,
     deviations."""
-    docs = answers_.withColumns({"a": A.normalise_pass_a("pass_a", "tile_id"), "c": A.normalise_pass_c("pass_c", "tile_id")})
-    docs = docs.where("a.parsed and c.parsed and a.features is not null and c.reviews is not null")
-    a, c = docs.select("tile_id", F.col("a").alias("doc")), docs.select("tile_id", F.col("c").alias("doc"))
-    proposals, bad = validate(candidates(features(a), "A", producer, provenance), tiles)
-    missed = candidates(features(c), "C", reviewer, provenance)
-    fixes = candidates(corrections(c), "C", reviewer, provenance)
+    a, c = (A.documents(answers_.select("tile_id", p), p).drop(p) for p in ("pass_a", "pass_c"))
+    both = A.valid(a, "features").select("tile_id").join(A.valid(c, "reviews").select("tile_id"), "tile_id")
+    a, c = (cut(d.join(both, "tile_id", "left_semi")) for d in (a, c))
+    proposals, bad = validate(candidates(A.features(a), "A", producer, provenance), tiles)
+    theirs = missed(c, reviewer, provenance)
+    given = cut(A.reviews(c))
+    fixes = candidates(corrections(given), "C", reviewer, provenance)
     # corrections and missed lines share one space of ids
-    theirs = fixes.withColumn("kind", F.lit("correction")).unionByName(missed.select(*[x for x in missed.columns if x in fixes.columns], F.lit(None).cast("string").alias("reviewed_feature_id"), F.lit("missed").alias("kind")))
+    theirs = fixes.withColumn("kind", F.lit("correction")).unionByName(theirs.select(*[x for x in theirs.columns if x in fixes.columns], F.lit(None).cast("string").alias("reviewed_feature_id"), F.lit("missed").alias("kind")))
     good, bad_c = validate(theirs, tiles)
-    joined, unmatched = join_reviews(reviews(c), proposals, good.where("kind = 'correction'"))
+    proposals, good = cut(proposals), cut(good)
+    joined, unmatched = join_reviews(given, proposals, good.where("kind = 'correction'"))
     product, excluded = reviewed_product(proposals, joined, good.where("kind = 'missed'"), producer, reviewer)
-    return {"product": product, "excluded": excluded, "unmatched": unmatched, "rejected": bad.unionByName(bad_c), "deviations": deviations(a).unionByName(deviations(c))}
+    return {"product": product, "excluded": excluded, "unmatched": unmatched, "rejected": bad.unionByName(bad_c), "deviations": A.deviations(a, A.PASS_A).unionByName(A.deviations(c, A.PASS_C))}

@@ -24,12 +24,29 @@ def in_cells(df: DataFrame, size: float, xmin="xmin", ymin="ymin", xmax="xmax",
     return df.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
-def within_distance(a: DataFrame, b: DataFrame, r: float) -> DataFrame:
-    """``a_id, b_id, dist`` of points (id, x, y) at most ``r`` apart."""
-    left = a.select(F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x", r).alias("cx"), cell("y", r).alias("cy"))
-    right = in_cells(b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by")), r, "bx", "by", "bx", "by", r)
+def segment_cells(s: DataFrame, size: float, reach: float = 0.0) -> DataFrame:
+    """A row for each bucket (cx, cy) that a segment (x1, y1, x2, y2), widened by ``reach``, may touch.
+
+    Column by column only the rows that the segment passes there, so a diagonal costs its length, not its box.
+    """
+    lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
+    s = s.withColumn("cx", F.explode(F.sequence(cell(lo - reach, size), cell(hi + reach, size))))
+    dx = F.col("x2") - F.col("x1")
+    at = lambda x: F.col("y1") + (F.col("y2") - F.col("y1")) * (F.least(F.greatest(x, lo), hi) - F.col("x1")) / F.when(dx == 0, 1.0).otherwise(dx)
+    left, right = at(F.col("cx") * size - reach), at((F.col("cx") + 1) * size + reach)
+    low = F.when(dx == 0, F.least("y1", "y2")).otherwise(F.least(left, right)) - reach
+    high = F.when(dx == 0, F.greatest("y1", "y2")).otherwise(F.greatest(left, right)) + reach
+    slack = 1e-9 * (1 + F.abs("y1") + F.abs("y2"))  # rounding of the interpolation
+    return s.withColumn("cy", F.explode(F.sequence(cell(low - slack, size), cell(high + slack, size))))
+
+
+def within_distance(a: DataFrame, b: DataFrame, r: float, keys: list[str] | None = None) -> DataFrame:
+    """``a_id, b_id, dist`` of points (id, x, y) at most ``r`` apart, and of equal ``keys`` where these are given."""
+    keys = list(keys or [])
+    left = a.select(*keys, F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x", r).alias("cx"), cell("y", r).alias("cy"))
+    right = in_cells(b.select(*keys, F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by")), r, "bx", "by", "bx", "by", r)
     dist = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    return left.join(right, ["cx", "cy"]).select("a_id", "b_id", dist.alias("dist")).where(F.col("dist") <= r)
+    return left.join(right, [*keys, "cx", "cy"]).select(*keys, "a_id", "b_id", dist.alias("dist")).where(F.col("dist") <= r)
 
 
 def nearest(a: DataFrame, b: DataFrame, r: float) -> DataFrame:
@@ -39,10 +56,19 @@ def nearest(a: DataFrame, b: DataFrame, r: float) -> DataFrame:
 
 
 def mutual_nearest(a: DataFrame, b: DataFrame, r: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs in which each is the other's nearest."""
-    pairs = within_distance(a, b, r)
-    rank = lambda one, other: F.row_number().over(Window.partitionBy(one).orderBy("dist", other))
-    return pairs.withColumns({"ra": rank("a_id", "b_id"), "rb": rank("b_id", "a_id")}).where("ra = 1 and rb = 1").select("a_id", "b_id", "dist")
+    """Pairs in which each is the other's nearest; with ``keys`` only points that agree in these columns are compared,
+    and the keys come back with the pairs."""
+    keys = list(keys)
+    if keys:
+        a, b = (x.withColumn("key_of", F.struct(*keys)) for x in (a, b))
+        left = a.select("key_of", F.struct("key_of", "id").alias("id"), "x", "y")
+        right = b.select("key_of", F.struct("key_of", "id").alias("id"), "x", "y")
+        pairs = within_distance(left, right, r, ["key_of"]).select("key_of", F.col("a_id.id").alias("a_id"), F.col("b_id.id").alias("b_id"), "dist")
+    else:
+        pairs = within_distance(a, b, r).withColumn("key_of", F.lit(0))
+    rank = lambda one, other: F.row_number().over(Window.partitionBy("key_of", one).orderBy("dist", other))
+    pairs = pairs.withColumns({"ra": rank("a_id", "b_id"), "rb": rank("b_id", "a_id")}).where("ra = 1 and rb = 1")
+    return pairs.select(*(F.col(f"key_of.{k}").alias(k) for k in keys), "a_id", "b_id", "dist")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
@@ -60,6 +86,29 @@ def first_polygon(points: DataFrame, polygons: DataFrame, size: float) -> DataFr
     return points.join(hit, "id", "left")
 
 
+def points_in_any(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """The rows of ``points`` (id, x, y, ...) that lie in one of the polygons at least: no union of shapes is made."""
+    return points.join(points_in_polygons(points, polygons, size).select("id").distinct(), "id", "left_semi")
+
+
+def polygons_meeting(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """``a_id, b_id`` of polygons (polygon_id, polygon) that share a point: boxes first, then the shapes."""
+    box = lambda p: p.select(F.col("polygon_id").alias("id"), *G.bounds(F.element_at("polygon", 1)))
+    pairs = boxes_meet(box(a), box(b), size)
+    pairs = pairs.join(a.select(F.col("polygon_id").alias("a_id"), F.col("polygon").alias("a_shape")), "a_id")
+    pairs = pairs.join(b.select(F.col("polygon_id").alias("b_id"), F.col("polygon").alias("b_shape")), "b_id")
+    return pairs.where(G.polygons_intersect("a_shape", "b_shape")).select("a_id", "b_id")
+
+
+def coordinates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges`` (u, v, ...) with x1, y1, x2, y2 from ``nodes`` (node, x, y); an unknown node fails the query."""
+    out = edges
+    for end, x, y in (("u", "x1", "y1"), ("v", "x2", "y2")):
+        at = nodes.select(F.col("node").alias(end), F.col("x").alias(x), F.col("y").alias(y), F.lit(True).alias(f"{end}_known"))
+        out = out.join(at, end, "left").withColumn(x, F.when(F.col(f"{end}_known").isNull(), F.raise_error(F.concat(F.lit("no such node: "), F.col(end).cast("string")))).otherwise(F.col(x))).drop(f"{end}_known")
+    return out
+
+
 def boxes_meet(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """``a_id, b_id`` of boxes (id, xmin, ymin, xmax, ymax) that share a point; closed bounds."""
     left = in_cells(a.select(F.col("id").alias("a_id"), *(F.col(c).alias(f"a_{c}") for c in ("xmin", "ymin", "xmax", "ymax"))), size, "a_xmin", "a_ymin", "a_xmax", "a_ymax")
@@ -70,21 +119,32 @@ def boxes_meet(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     return left.join(right, ["cx", "cy"]).where(meet).where(own).select("a_id", "b_id")
 
 
-def points_near_lines(points: DataFrame, lines: DataFrame, r: float, key: str = "line_id") -> DataFrame:
-    """``id, line, dist, at``: lines within ``r`` of points (id, x, y), and where the nearest point lies along them."""
-    s = G.segments(lines, key).withColumnRenamed(key, "line")
-    s = in_cells(s, r, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), r)
-    at = points.select("id", "x", "y", cell("x", r).alias("cx"), cell("y", r).alias("cy"))
+def points_near_lines(points: DataFrame, lines: DataFrame, r: float, key: str = "line_id", same: str | None = None) -> DataFrame:
+    """``id, line, dist, at``: lines within ``r`` of points (id, x, y), and where the nearest point lies along them.
+
+    ``same``: a column of both; only lines that agree with the point in it are compared.
+    """
+    keys = [same] if same else []
+    named = lines.select(F.struct(F.col(key).alias("line"), *keys).alias("of"), "geom")
+    s = G.segments(named, "of").select("of.*", "x1", "y1", "x2", "y2", "at")
+    s = segment_cells(s, r, r)
+    at = points.select("id", *keys, "x", "y", cell("x", r).alias("cx"), cell("y", r).alias("cy"))
     dist, t = G.point_segment(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
     where = F.col("at") + t * F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    hit = at.join(s, ["cx", "cy"]).select("id", "line", dist.alias("dist"), where.alias("at")).where(F.col("dist") <= r)
+    hit = at.join(s, [*keys, "cx", "cy"]).select("id", "line", dist.alias("dist"), where.alias("at")).where(F.col("dist") <= r)
     return hit.groupBy("id", "line").agg(F.min(F.struct("dist", "at")).alias("m")).select("id", "line", "m.dist", "m.at")
 
 
+def nearest_line(points: DataFrame, lines: DataFrame, r: float, key: str = "line_id", same: str | None = None) -> DataFrame:
+    """``id, line, dist, at``: the nearest line within ``r`` of each point, the smaller id on ties."""
+    best = points_near_lines(points, lines, r, key, same).groupBy("id").agg(F.min(F.struct("dist", "line", "at")).alias("m"))
+    return best.select("id", "m.line", "m.dist", "m.at")
+
+
 def crossings(lines: DataFrame, size: float, key: str = "line_id") -> DataFrame:
     """``a, b, at_a, at_b``: points where two different lines (a < b) meet, by distance along each."""
     s = G.segments(lines, key)
-    s = in_cells(s, size, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"))
+    s = segment_cells(s, size)
     a = s.select(*(F.col(c).alias(f"a_{c}") for c in (key, "seg", "x1", "y1", "x2", "y2", "at")), "cx", "cy")
     b = s.select(*(F.col(c).alias(f"b_{c}") for c in (key, "seg", "x1", "y1", "x2", "y2", "at")), "cx", "cy")
     p = a.join(b, ["cx", "cy"]).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
@@ -117,33 +177,11 @@ def snap_ends(lines: DataFrame, snap: float = 40.0, key: str = "line_id") -> Dat
     cuts = cuts.groupBy("line_id").agg(F.sort_array(F.collect_set("at")).alias("cuts"))
     pieces = lines.join(cuts, "line_id", "left").select("line_id", F.posexplode(G.split_line("geom", "cuts")).alias("piece_no", "geom"))
     meets = near.where("dist > 0.05").join(ends, "id")
-    point = _point_at("other", "at")
+    point = G.point_at("other", F.col("at"))
     connectors = meets.select("line_id", (-1 - F.col("no")).alias("piece_no"), F.array(F.struct("x", "y"), point).alias("geom"))
     return pieces.withColumn("is_connector", F.lit(False)).unionByName(connectors.withColumn("is_connector", F.lit(True)))
 
 
-def _point_at(geom: str, at: str) -> Column:
-    """The point at a distance along a line."""
-    walk = F.aggregate(
-        G.steps(geom),
-        F.struct(F.lit(0.0).alias("s"), G.start(geom)["x"].alias("x"), G.start(geom)["y"].alias("y")),
-        lambda acc, p: _step(acc, p, F.col(at)),
-    )
-    return F.struct(walk["x"].alias("x"), walk["y"].alias("y"))
-
-
-def _step(acc: Column, p: Column, at: Column) -> Column:
-    dx, dy = p["b"]["x"] - p["a"]["x"], p["b"]["y"] - p["a"]["y"]
-    n = F.hypot(dx, dy)
-    t = F.when(n == 0, 0.0).otherwise(F.least((at - acc["s"]) / F.when(n == 0, 1.0).otherwise(n), F.lit(1.0)))
-    on = at >= acc["s"]
-    return F.struct(
-        (acc["s"] + n).alias("s"),
-        F.when(on, p["a"]["x"] + t * dx).otherwise(acc["x"]).alias("x"),
-        F.when(on, p["a"]["y"] + t * dy).otherwise(acc["y"]).alias("y"),
-    )
-
-
 def graph_of(pieces: DataFrame, kmh: float = 5.0) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, x, y) at ends rounded to decimetres and edges (u, v, length_m, cost in minutes) of line pieces."""
     e = pieces.select(G.start("geom").alias("a"), G.end("geom").alias("b"), G.length("geom").alias("length_m"))
@@ -154,10 +192,18 @@ def graph_of(pieces: DataFrame, kmh: float = 5.0) -> tuple[DataFrame, DataFrame]
     return nodes, e.select("u", "v", "length_m", (F.col("length_m") / 1000 / kmh * 60).alias("cost"))
 
 
-def build_edges(lines: DataFrame, most: float = 250.0, key: str = "line_id") -> DataFrame:
-    """Equal pieces of at most ``most`` metres: edge_id ``<line>_<piece>``, length_m, geom."""
-    p = lines.select(key, F.posexplode(G.split_equal("geom", F.lit(float(most)))).alias("piece", "geom"))
-    return p.select(F.concat_ws("_", F.col(key).cast("string"), "piece").alias("edge_id"), key, "piece", G.length("geom").alias("length_m"), "geom")
+def build_edges(lines: DataFrame, most: float = 250.0, key: str = "line_id", footprint: DataFrame | None = None) -> DataFrame:
+    """Equal pieces of at most ``most`` metres: edge_id ``<line>_<part>_<piece>``, length_m, geom.
+
+    ``footprint`` (one row, ``polygon``) clips the lines first; ``part`` numbers what is left of a line.
+    """
+    if footprint is None:
+        parts = lines.select(key, F.lit(0).alias("part"), "geom")
+    else:
+        inside = lines.crossJoin(F.broadcast(footprint.select("polygon").limit(1)))  # one row
+        parts = inside.select(key, F.posexplode(G.clip_line("geom", "polygon")).alias("part", "geom"))
+    p = parts.select(key, "part", F.posexplode(G.split_equal("geom", F.lit(float(most)))).alias("piece", "geom"))
+    return p.select(F.concat_ws("_", F.col(key).cast("string"), "part", "piece").alias("edge_id"), key, "part", "piece", G.length("geom").alias("length_m"), "geom")
 
 
 # ---- seams between tiles

@@ -15,9 +15,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normalised(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Each tile and pass once, however often it is delivered within ``late``."""
+    """Each tile and pass once, however often it is delivered within ``late``: object, wrapped, parsed."""
     once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["tile_id", "pass"])
-    return once.withColumn("doc", F.when(F.col("pass") == "C", A.normalise_pass_c("text", "tile_id")).otherwise(A.normalise_pass_a("text", "tile_id")))
+    return A.documents(once).withColumn("parsed", F.col("object").isNotNull())
 
 
 def write(stream: DataFrame, folder: str, checkpoint: str, available_now: bool = True):

@@ -13,21 +13,57 @@ from netspark.streaming import answers as stream
 PROV = {k: "x" for k in A.PROVENANCE_FIELDS}
 
 
-def test_objects_in_text():
-    assert A.extract_object('{"a": 1}') == ({"a": 1}, False)
-    assert A.extract_object('Here it is:\n```json\n{"a": 2}\n```\nbye') == ({"a": 2}, True)
-    assert A.extract_object('so {"a": 3} then') == ({"a": 3}, True)
-    assert A.extract_object("[1]") == (None, False) and A.extract_object(None) == (None, False)
-
-
-def test_aliases_vocabularies_and_defaults():
-    raw = {"tile_id": "t", "features": [{"id": "a", "class": "Single_Line", "points": [[0, 0], [5, 2000]], "endpoint_flags": ["obscured", "junction"], "colour": "red", "alternatives": ["or a fence"]}, 7], "junctions": [{"branch_count": 2, "uv": [1, True]}]}
-    doc, dev = A.normalise(json.dumps(raw), "t", A.PASS_A)
-    f = doc["features"][0]
-    assert f["feature_id"] == "a" and f["proposed_class"] == "single_line" and f["extra"] == {"colour": "red"} and f["endpoint_flags"] == ["unknown", "junction"]
-    kinds = [d[3] for d in dev]
-    for k in ("renamed_key", "extra_key", "class_case_normalised", "coordinate_out_of_range", "endpoint_flag_not_in_vocabulary", "alternative_not_an_object", "wrong_type", "non_numeric_coordinate", "value_out_of_range", "missing_key"):
-        assert k in kinds, k
+def docs_of(spark, *texts):
+    return A.documents(spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(texts)], "tile_id string, text string"))
+
+
+def test_objects_in_text(spark):
+    got = docs_of(spark, '{"a": 1}', 'Here it is:\n```json\n{"a": 2}\n```\nbye', 'so {"a": 3} then', "[1]", None, "```json\nno\n``` ```\n{\"b\": {}}\n```", "")
+    rows = got.orderBy("tile_id").collect()
+    assert [(r.object, r.wrapped) for r in rows] == [('{"a": 1}', False), ('{"a": 2}', True), ('{"a": 3}', True), (None, None), (None, None), ('{"b": {}}', True), (None, None)]
+    assert {(r.kind, r.tile_id) for r in A.deviations(got, A.PASS_A).where("key = '<document>'").collect()} >= {("no_json_object", "t3"), ("answer_not_bare_json", "t1")}
+
+
+def test_aliases_vocabularies_and_defaults(spark):
+    raw = {"tile_id": "x", "more": 1, "features": [{"id": "a", "class": "Single_Line", "points": [[0, 0], [5, 2000]], "endpoint_flags": ["obscured", "junction"], "colour": "red", "alternatives": ["or a fence", {"note": "n", "class": "k", "odd": 1}, 5]}, 7, {"feature_id": "a", "waypoints_uv": [[1, 2], [3]], "proposed_class": 5, "junction_ids": "no", "evidence_note": "e" * 301, "uncertainty_note": 3}], "junctions": [{"branch_count": 2, "uv": [1, True]}]}
+    docs = docs_of(spark, json.dumps(raw))
+    f = A.features(docs).where("ord = 0").first()
+    assert f.feature_id == "a" and f.proposed_class == "single_line" and json.loads(f.extra) == {"colour": "red"} and f.endpoint_flags == ["unknown", "junction"]
+    assert [json.loads(x) for x in f.alternatives] == [{"note": "or a fence", "raw": "or a fence"}, {"note": "n", "proposed_class": "k"}]
+    assert f.waypoints_uv == [[0, 0], [5, 2000]] and f.waypoints_ok and not A.features(docs).where("ord = 2").first().waypoints_ok
+    found = {(r.scope, r.object_id, r.key, r.kind) for r in A.deviations(docs, A.PASS_A).collect()}
+    assert found == {
+        ("top", "t0", "more", "extra_key"), ("top", "t0", "tile_id", "tile_id_mismatch"),
+        ("feature", "a", "id", "renamed_key"), ("feature", "a", "class", "renamed_key"), ("feature", "a", "points", "renamed_key"), ("feature", "a", "colour", "extra_key"),
+        ("feature", "a", "junction_ids", "missing_key"), ("feature", "a", "evidence_note", "missing_key"), ("feature", "a", "uncertainty_note", "missing_key"),
+        ("feature", "a", "waypoints_uv", "coordinate_out_of_range"), ("feature", "a", "proposed_class", "class_case_normalised"), ("feature", "a", "endpoint_flags", "endpoint_flag_not_in_vocabulary"),
+        ("feature", "a", "alternatives", "alternative_not_an_object"), ("feature", "a", "alternatives", "wrong_type"), ("feature", "a", "alternatives[1].class", "renamed_key"),
+        ("feature", "a", "alternatives[1].odd", "extra_key"), ("feature", "a", "alternatives[1].kind", "missing_key"),
+        ("feature", "<item-01>", "<feature>", "wrong_type"),
+        ("feature", "a", "feature_id", "duplicate_feature_id"), ("feature", "a", "endpoint_flags", "missing_key"), ("feature", "a", "waypoints_uv", "wrong_type"), ("feature", "a", "proposed_class", "class_not_in_vocabulary"),
+        ("feature", "a", "junction_ids", "wrong_type"), ("feature", "a", "evidence_note", "note_too_long"), ("feature", "a", "uncertainty_note", "wrong_type"),
+        ("junction", "<unnamed-00>", "branch_count", "renamed_key"), ("junction", "<unnamed-00>", "junction_id", "missing_key"), ("junction", "<unnamed-00>", "evidence_note", "missing_key"),
+        ("junction", "<unnamed-00>", "uv", "non_numeric_coordinate"), ("junction", "<unnamed-00>", "n_branches", "value_out_of_range"),
+    }
+
+
+def test_reviews_and_disputes(spark):
+    raw = {"tile_id": "t0", "features": [], "reviews": [{"id": "a", "verdict": "Agree", "evidence": "x"}, {"id": "a", "verdict": "maybe", "class": "Dashed_Line", "corrected_polyline": [[0, 0], [2, 2]], "evidence_note": ""}, {"reviewed_feature_id": "b", "verdict": "partly_agree_course_differs", "evidence_note": "", "corrected_waypoints_uv": []}], "contested_junctions": [{"what_is_contested": "a branch too many", "coordinate": [1, 2], "evidence": ""}]}
+    docs = docs_of(spark, json.dumps(raw))
+    rows = [(r.reviewed_feature_id, r.verdict, r.proposed_class, r.corrected_ok) for r in A.reviews(docs).orderBy("ord").collect()]
+    assert rows == [("a", "agree", "", False), ("a", "cannot_tell", "dashed_line", True), ("b", "partly_agree_course_differs", "", False)]
+    c = A.contested(docs).first()
+    assert (c.object_id, c.what_is_disputed, c.what_is_disputed_note, c.uv) == ("cj00", "unknown", "a branch too many", [1, 2])
+    kinds = sorted(r.kind for r in A.deviations(docs, A.PASS_C).where("kind <> 'renamed_key'").collect())
+    assert kinds == ["class_case_normalised", "contested_kind_not_in_vocabulary", "correction_missing", "duplicate_reviewed_feature_id", "verdict_case_normalised", "verdict_not_in_vocabulary"]
+
+
+def test_missing_fields_come_first(spark):
+    rows = spark.createDataFrame([("t", 0, "f", "A", [[0.0, 0.0], [1.0, 1.0]], "unknown"), ("t", 1, None, "A", None, "unknown")], "tile_id string, ord int, feature_id string, pass string, waypoints_uv array<array<double>>, proposed_class string")
+    tiles = spark.createDataFrame([("t", 9.0, 9.0)], "tile_id string, display_w double, display_h double")
+    good, bad = reviews.validate(rows, tiles)
+    lack = "model_family,junction_ids,endpoint_flags,evidence_note,uncertainty_note,provenance"
+    assert good.count() == 0 and {r.reason for r in bad.collect()} == {f"missing_fields:{lack}", "missing_fields:feature_id," + lack.replace("model_family,", "model_family,waypoints_uv,")}
 
 
 def feature(i, points=((0, 0), (10, 0)), cls="single_line"):
@@ -137,4 +173,4 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows, "tile_id string, pass string, text string, ts string").write.json(f"{tmp_path}/in")
     q = stream.write(stream.normalised(stream.read(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(120)
-    assert {(r.tile_id, r.doc.parsed) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("t", True), ("u", False)}
+    assert {(r.tile_id, r.parsed) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("t", True), ("u", False)}
