@@ -26,7 +26,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -145,35 +145,46 @@ class _Marks:
         return np.unpackbits(np.frombuffer(self.shared.value, np.uint8)).astype(bool)
 
 
+class _Prefix(dict):
+    """From the first ``k`` letters of a word, as written, to the hash of its class if a bitmap has it, else None."""
+
+    def __init__(self, k: int, wanted: bytes):
+        self.k, self.wanted = k, wanted
+
+    def __missing__(self, p: str) -> int | None:
+        if len(self) > 200_000:
+            self.clear()
+        h = _sign(f"{(p + 'a').lower()[: self.k]}*")  # a letter more: the last one of a word may have a form of its own
+        self[p] = h = h if self.wanted[h & MASK] else None
+        return h
+
+
 class _Wanted:
-    """From a lower-case word to the hashes, of its classes and its own, that a bitmap has.
+    """What a bitmap has of the classes and words of a text.
 
     A class is wanted wherever a narrower one is (more texts, more contexts), so most words end at their first letters.
     """
 
     def __init__(self, wanted: np.ndarray):
         self.wanted = wanted.tobytes()
-        self.known: dict[str, int | None] = {}
-
-    def of(self, w: str) -> list[int]:
-        out = []
-        for k in reversed(STEMS):
-            if k < len(w):
-                p = w[:k]
-                if p not in self.known:
-                    if len(self.known) > 200_000:
-                        self.known.clear()
-                    h = _sign(f"{p}*")
-                    self.known[p] = h if self.wanted[h & MASK] else None
-                if (h := self.known[p]) is None:
-                    return out
-                out.append(h)
-        h = _sign(w)
-        return [*out, h] if self.wanted[h & MASK] else out
-
-    def word(self, w: str) -> int | None:
-        """The hash of the word itself, if it is wanted."""
-        return found[-1] if (found := self.of(w)) and found[-1] == _sign(w) else None
+        self.of = {k: _Prefix(k, self.wanted) for k in STEMS}
+
+    def words(self, text: str) -> tuple[set[str], dict[str, int]]:
+        """All words of a text and, of those that are wanted, the hash."""
+        words, four = set(_TERM.findall(text)), self.of[4]
+        some = [w for w in words if len(w) == 4 or four[w[:4]] is not None]
+        return words, {w: h for w in some if self.wanted[(h := _sign(w.lower())) & MASK]}
+
+    def classes(self, text: str) -> set[int]:
+        words, own = self.words(text)
+        two, four, six = (self.of[k] for k in (2, 4, 6))
+        out = {two[p] for p in {w[:2] for w in words}}
+        wide = [w for w in words if len(w) > 4 and four[w[:4]] is not None]
+        out.update(four[w[:4]] for w in wide)
+        out.update(six[p] for p in {w[:6] for w in wide if len(w) > 6})
+        out.update(own.values())
+        out.discard(None)
+        return out
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -224,13 +235,13 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         wanted, several = names.read(), repeated.read()
         if not wanted.any():
             return
-        find, seen, done = _Wanted(wanted).of, Counter(), set()
+        find, seen, done = _Wanted(wanted).classes, Counter(), set()
         for b in slices(batches):
             own: list[tuple[int, int]] = []
             for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if h in done:
                     continue
-                here = set(chain.from_iterable(map(find, {w.lower() for w in set(_TERM.findall(t))})))
+                here = find(t)
                 if several[h & MASK]:  # may stand in other tasks, too: counted apart
                     if len(done) > 100_000:
                         done.clear()
@@ -275,12 +286,12 @@ def scan(docs: DataFrame, terms: _Marks) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = terms.read()
-        any_wanted, word = bool(wanted.any()), _Wanted(wanted).word
+        any_wanted, words = bool(wanted.any()), _Wanted(wanted).words
         for b in slices(batches):
             spans, hits = [], []
             for t in b.column(1).to_pylist():
                 found, some = base_spans(t), []
-                if any_wanted and (here := {w: h for w in set(_TERM.findall(t)) if (h := word(w.lower())) is not None}):
+                if any_wanted and (here := words(t)[1]):
                     touched = _touched(found)
                     for m in _TERM.finditer(t):
                         if m[0] in here and not touched(*m.span()):
