@@ -53,13 +53,13 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(steps(ring), F.lit(0.0), lambda s, p: s + p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"])) / 2
 
 
-def area(polygon: str) -> Column:
+def area(polygon) -> Column:
     """Area of a polygon: outer ring less holes."""
-    rings = F.transform(F.col(polygon), ring_area)
+    rings = F.transform(polygon, ring_area)
     return 2 * F.element_at(rings, 1) - F.aggregate(rings, F.lit(0.0), lambda s, a: s + a)
 
 
-def valid_polygon(polygon: str) -> Column:
+def valid_polygon(polygon) -> Column:
     """Whether every ring closes, has four points or more and an area (crossings of rings are not looked for)."""
     ring = lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)) & (ring_area(r) > 0)
     return F.coalesce((F.size(polygon) > 0) & F.forall(polygon, ring), F.lit(False))
@@ -380,6 +380,12 @@ def segmentised(geom: pd.Series, step: pd.Series) -> pd.Series:
     return pd.Series([_points(one(as_array(g), m)) for g, m in zip(geom, step)])
 
 
+@F.pandas_udf(LINE_T)
+def thinned(geom: pd.Series, least: pd.Series) -> pd.Series:
+    """A line without the points that lie at most ``least`` from the last one kept."""
+    return pd.Series([_points(thin(as_array(g), m)) for g, m in zip(geom, least)])
+
+
 @F.pandas_udf(_POINT_T)
 def representative_point(polygon: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([inner_point([as_array(r) for r in p]) for p in polygon], columns=["x", "y"])

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netspark.operators.network import dense_ids
 from netspark.operators.paths import bfs, symmetric, trace
 from netspark.plans.iterate import cut
 
@@ -156,8 +157,10 @@ def goal_directed(links: DataFrame, starts: DataFrame, targets: DataFrame, by: s
 
 
 def batches(rows: DataFrame, order: list[str], n: int) -> DataFrame:
-    """``batch``: 0, 1, 2 ... for each n rows in order; meant for work lists that one person or service takes."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / n).cast("long"))
+    """``batch``: 0, 1, 2 ... for each n rows in order (which must tell all rows apart); no task holds all rows."""
+    numbered = dense_ids(rows.select(F.struct(*order).alias("node")))
+    numbered = numbered.select(*(F.col(f"node.{c}").alias(c) for c in order), F.floor(F.col("id") / n).cast("long").alias("batch"))
+    return rows.join(numbered, order)
 
 
 def dead_ends(edges: DataFrame) -> DataFrame:

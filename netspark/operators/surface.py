@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netspark.plans.iterate import free
+
 
 def grid_cells(bounds: DataFrame, size: float = 250.0) -> DataFrame:
     """Centres of the cells of boxes (xmin, ymin, xmax, ymax): cx, cy, x, y."""
@@ -25,10 +27,11 @@ def disaggregate(cells: DataFrame, totals: DataFrame, key: str = "place", floor:
 
     Weights are summed with map-side combine and joined back, so a place with very many cells is no single task.
     """
-    w = cells.withColumn("__w", F.coalesce("road_m", F.lit(0.0)) + floor)
-    share = w.groupBy(key).agg(F.sum("__w").alias("__all")).join(totals.select(key, F.col("population").alias("__total")), key, "left")
+    weight, every, total = (free(cells, n) for n in ("weight", "weights", "total"))
+    w = cells.withColumn(weight, F.coalesce("road_m", F.lit(0.0)) + floor)
+    share = w.groupBy(key).agg(F.sum(weight).alias(every)).join(totals.select(key, F.col("population").alias(total)), key, "left")
     out = w.join(share, key, "left")
-    return out.withColumn("population", F.coalesce(F.col("__total") * F.col("__w") / F.col("__all"), F.lit(0.0))).drop("__w", "__all", "__total")
+    return out.withColumn("population", F.coalesce(F.col(total) * F.col(weight) / F.col(every), F.lit(0.0))).drop(weight, every, total)
 
 
 def long_series(wide: DataFrame, keys: list[str], prefix: str = "y") -> DataFrame:
@@ -62,7 +65,9 @@ def joined_ids(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")
+    """The first row of each key in an order."""
+    k = free(rows, "nth")
+    return rows.withColumn(k, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(k) == 1).drop(k)
 
 
 def unique_or_raise(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from netspark.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+MODULE: dict[str, str] = {}
 
 
 class Tables:
@@ -30,6 +31,7 @@ class Tables:
 def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        MODULE[f.__name__] = f.__module__
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -46,10 +48,15 @@ def scan_pruned_and_pushed(t):
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
 
 
-@query("SELECT vec_id FROM embeddings WHERE embedding[1] BETWEEN -0.1 AND 0.1 AND embedding[2] BETWEEN -0.1 AND 0.1")
+@query("SELECT event_id FROM events WHERE value - 5 <= 40 AND value + 5 >= 20 AND event_id % 100 <= 70 AND event_id % 100 + 10 >= 30")
 def scan_bounding_box(t):
-    e = t.embeddings.select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
-    return e.where(F.col("x").between(-0.1, 0.1) & F.col("y").between(-0.1, 0.1)).select("vec_id")
+    """Boxes about events, stored and read again through a pushed box."""
+    from netspark.more_queries import _folder
+
+    d, v, y = _folder(t.spark, "boxes"), F.col("value"), (F.col("event_id") % 100).cast("double")
+    boxes = t.events.select("event_id", (v - 5).alias("xmin"), y.alias("ymin"), (v + 5).alias("xmax"), (y + 10).alias("ymax"))
+    writers.layer(boxes, d, "boxes")
+    return readers.parquet(t.spark, f"{d}/boxes", ["event_id"], (20.0, 30.0, 40.0, 70.0))
 
 
 @query("SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
@@ -100,9 +107,9 @@ def left_join_with_default(t):
     return t.customer.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_join(t):
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)")
@@ -405,46 +412,3 @@ def dense_ids(t):
 def degree_distribution(t):
     e = t.lineitem.select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v"))
     return network.degree(e).groupBy("degree").agg(F.count("*").alias("n"))
-
-
-# ---- rows only: what SQL can't say runs on fixtures made of the tables, and is tested against brute force
-
-
-@query()
-def snap_and_split_lines(t):
-    p = lambda a, b, k: F.struct((F.col("embedding")[a] * 100 + F.col("embedding")[a + k] * 20).cast("double").alias("x"), (F.col("embedding")[b] * 100 + F.col("embedding")[b + k] * 20).cast("double").alias("y"))
-    lines = t.embeddings.select(F.col("vec_id").alias("line_id"), F.array(p(0, 1, 2), p(0, 1, 4), p(0, 1, 6)).alias("geom"))
-    return spatial.snap_ends(lines, 1.0).select("line_id", "piece_no", "is_connector", F.round(G.length("geom"), 3).alias("length_m"))
-
-
-@query()
-def bridged_gaps(t):
-    e = _roads(t).select(F.monotonically_increasing_id().alias("edge"), "u", "v", (F.col("cost") * 10).alias("length_m"), F.when(F.col("cost") < 9.4, "present").otherwise("absent").alias("status"))
-    return network.bridge_gaps(paths.cut(e), 300.0)
-
-
-@query()
-def bridged_cuts(t):
-    e = _roads(t).select(F.monotonically_increasing_id().alias("edge"), "u", "v", (F.col("cost") * 10).alias("length_m"), F.when(F.col("cost") < 9.4, "present").otherwise("absent").alias("status"))
-    return network.bridge_cuts(paths.cut(e), 300.0, 500.0)
-
-
-@query()
-def approximate_accessibility(t):
-    a = network.approximate_accessibility(_roads(t), _zones(t), radius=10.0)
-    return a.select("zone", F.round("accessibility", 4).alias("accessibility"))
-
-
-@query()
-def normalised_answers(t):
-    """Every conversation turn read as an answer: whether there is an object in it, and what departs from the format."""
-    c = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("tile_id"), "text")
-    return c.select("tile_id", A.normalise_pass_a("text", "tile_id").alias("d")).select("tile_id", "d.parsed", F.size("d.deviations").alias("n"))
-
-
-@query()
-def goal_directed_search(t):
-    links = _roads(t).where("cost < 11").select(F.lit(0).alias("region"), "u", "v")
-    start = t.region.agg(F.lit(0).alias("region"), F.min("r_regionkey").cast("long").alias("cell"))
-    goals = t.nation.select(F.lit(0).alias("region"), F.col("n_nationkey").cast("long").alias("cell"), F.lit(1).alias("depth"))
-    return search.goal_directed(links, start, goals)

@@ -27,6 +27,16 @@ def layer(spark: SparkSession, folder: str, name: str, schema: str | T.StructTyp
         return spark.createDataFrame([], schema)
 
 
+def state(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A state table of JSON lines; empty where there is none yet."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def csv_text(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     """CSV with a header, every column as text."""
     return spark.read.csv(path, schema=schema, header=True, sep=sep, nullValue="\u0000", emptyValue="")
@@ -56,7 +66,7 @@ def newest(spark: SparkSession, pattern: str) -> str:
 
 
 def file_table(spark: SparkSession, pattern: str, regex: str, names: list[str]) -> DataFrame:
-    """Paths with the groups of ``regex`` in the file name as columns; other files are left out."""
+    """Paths with the groups of ``regex`` in the file name as columns; files of other names are left out."""
     files = spark.read.format("binaryFile").load(pattern).select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
     return files.where(F.col("file").rlike(regex)).select("path", "file", *(F.regexp_extract("file", regex, i + 1).alias(n) for i, n in enumerate(names)))
 
