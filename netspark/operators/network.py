@@ -164,10 +164,11 @@ def accessibility(
     return wanted.select(F.col("zone").cast("long").alias("zone")).repartition("zone").mapInArrow(run, "zone long, accessibility double")
 
 
-def approximate_accessibility(edges: DataFrame, zones: DataFrame, radius: float = 10.0, tau: float = 30.0) -> DataFrame:
+def approximate_accessibility(edges: DataFrame, zones: DataFrame, radius: float = 10.0, tau: float = 30.0, horizon: float = float("inf")) -> DataFrame:
     """Two-level estimate: exact within ``radius`` minutes; beyond it, zones count at their cluster's centre.
 
     Clusters are the zones nearest to centres, which are picked so that no two are within ``radius`` (smallest id first).
+    Only centres meet centres, up to ``horizon`` minutes apart.
     """
     pairs = cut(cheapest(edges))
     near = cut(shortest_paths(pairs, zones.select(F.col("zone").alias("node")), 2 * radius).where("node is not null"))
@@ -178,14 +179,18 @@ def approximate_accessibility(edges: DataFrame, zones: DataFrame, radius: float
     to_centre = near.join(centres, "node", "left_semi").groupBy(F.col("origin").alias("zone")).agg(F.min(F.struct("dist", "node")).alias("b"))
     of_zone = cut(zones.join(to_centre, "zone", "left").select("zone", "population", F.coalesce("b.node", "zone").alias("centre"), F.coalesce("b.dist", F.lit(0.0)).alias("leg")))
     clusters = of_zone.groupBy("centre").agg(F.sum("population").alias("population"))
-    between = cut(shortest_paths(pairs, of_zone.select(F.col("centre").alias("node"))).select(F.col("origin").alias("centre"), F.col("node").alias("other"), "dist"))
+    between = cut(shortest_paths(pairs, of_zone.select(F.col("centre").alias("node")), horizon).select(F.col("origin").alias("centre"), F.col("node").alias("other"), "dist"))
     close = near.where(F.col("dist") <= radius).select(F.col("origin").alias("zone"), F.col("node").alias("z"), "dist").where("zone <> z")
     close = close.join(of_zone.select(F.col("zone").alias("z"), "population", F.col("centre").alias("other")), "z")
     exact = close.groupBy("zone").agg(F.sum(F.col("population") * F.exp(-F.col("dist") / tau)).alias("near"))
     own = of_zone.select("zone", F.col("centre").alias("other"), F.col("population").alias("p"))
     counted = close.select("zone", "other", F.col("population").alias("p")).unionByName(own).groupBy("zone", "other").agg(F.sum("p").alias("counted"))
-    far = of_zone.select("zone", "centre", "leg").join(between, "centre").join(clusters.select(F.col("centre").alias("other"), "population"), "other")
-    far = far.join(counted, ["zone", "other"], "left").groupBy("zone").agg(F.sum((F.col("population") - F.coalesce("counted", F.lit(0.0))) * F.exp(-(F.col("dist") + F.col("leg")) / tau)).alias("far"))
+    # what a centre sees is summed once; zones take off what they count exactly, and weigh the rest by their own leg
+    weight = F.exp(-F.col("dist") / tau)
+    seen = between.join(clusters.select(F.col("centre").alias("other"), "population"), "other").groupBy("centre").agg(F.sum(F.col("population") * weight).alias("seen"))
+    off = counted.join(of_zone.select("zone", "centre"), "zone").join(between, ["centre", "other"]).groupBy("zone").agg(F.sum(F.col("counted") * weight).alias("off"))
+    far = of_zone.select("zone", "centre", "leg").join(seen, "centre").join(off, "zone", "left")
+    far = far.select("zone", ((F.col("seen") - F.coalesce("off", F.lit(0.0))) * F.exp(-F.col("leg") / tau)).alias("far"))
     return zones.select("zone").join(exact, "zone", "left").join(far, "zone", "left").select("zone", (F.coalesce("near", F.lit(0.0)) + F.coalesce("far", F.lit(0.0))).alias("accessibility"))
 
 

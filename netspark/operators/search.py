@@ -68,18 +68,30 @@ def frontier(found: DataFrame, attempted: DataFrame) -> DataFrame:
     return to.join(attempted.select("ix", "iy"), ["ix", "iy"], "left_anti")
 
 
-def choose(frontier_: DataFrame, goals: DataFrame, k: int) -> DataFrame:
-    """The k frontier cells nearest to a goal (Chebyshev), by distance and then cell.
+def choose(frontier_: DataFrame, goals: DataFrame, k: int, most: int = MOST_GOALS) -> DataFrame:
+    """The k frontier cells (ix, iy) nearest to a goal (Chebyshev), by distance and then cell: ix, iy, dist.
 
-    The frontier is compared with each goal, so goals must be few (the areas still to be connected): more than
-    ``MOST_GOALS`` raise.
+    Up to ``most`` goals are held by every task; beyond that cells look for goals in squares that grow until all have one.
     """
-    if goals.count() > MOST_GOALS:
-        raise ValueError(f"more than {MOST_GOALS} goals")
-    g = goals.select(F.col("ix").alias("gx"), F.col("iy").alias("gy"))
+    g = goals.select(F.col("ix").alias("gx"), F.col("iy").alias("gy")).distinct()
     far = F.greatest(F.abs(F.col("ix") - F.col("gx")), F.abs(F.col("iy") - F.col("gy")))
-    near = frontier_.join(F.broadcast(g), F.lit(True)).groupBy("ix", "iy").agg(F.min(far).alias("dist"))
-    return near.orderBy("dist", "ix", "iy").limit(k)
+    n = g.count()
+    if n <= most:
+        near = frontier_.join(F.broadcast(g), F.lit(True)).groupBy("ix", "iy").agg(F.min(far).alias("dist"))
+        return near.orderBy("dist", "ix", "iy").limit(k)
+    g, left, found, r = cut(g), cut(frontier_.select("ix", "iy").distinct()), None, 16
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    while not left.isEmpty():
+        square = lambda c: F.floor(F.col(c) / r).cast("long")  # noqa: B023, E731
+        around = g.select("gx", "gy", square("gx").alias("sx"), square("gy").alias("sy"))
+        asked = left.select("ix", "iy", square("ix").alias("x0"), square("iy").alias("y0")).select("*", step.alias("dx")).select("*", step.alias("dy"))
+        asked = asked.select("ix", "iy", (F.col("x0") + F.col("dx")).alias("sx"), (F.col("y0") + F.col("dy")).alias("sy"))
+        hit = cut(asked.join(around, ["sx", "sy"]).groupBy("ix", "iy").agg(F.min(far).alias("dist")).where(F.col("dist") <= r))
+        found = hit if found is None else cut(found.unionByName(hit))
+        left, r = cut(left.join(hit, ["ix", "iy"], "left_anti")), r * 4
+        if found.count() >= k and not left.isEmpty():
+            break  # all that are left lie further off than those found
+    return found.orderBy("dist", "ix", "iy").limit(k)
 
 
 def connected(links: DataFrame, read: DataFrame, start: DataFrame) -> DataFrame:

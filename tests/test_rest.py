@@ -174,3 +174,154 @@ def test_stream(spark, tmp_path):
     q = stream.write(stream.normalised(stream.read(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(120)
     assert {(r.tile_id, r.parsed) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("t", True), ("u", False)}
+
+
+def test_geopackage_geometries():
+    import struct
+
+    from netspark.sources.geopackage import rings
+
+    head = b"GP\0\1" + struct.pack("<i", 3006)
+    point = struct.pack("<BIdd", 1, 1, 3.0, 4.0)
+    assert rings(head + point) == ("Point", [(0, 0, [(3.0, 4.0)])])
+    ring = lambda *ps: struct.pack("<I", len(ps)) + b"".join(struct.pack("<dd", *p) for p in ps)
+    outer, hole = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 1.0)]
+    polygon = struct.pack("<BII", 1, 3, 2) + ring(*outer) + ring(*hole)
+    assert rings(head + polygon) == ("Polygon", [(0, 0, outer), (0, 1, hole)])
+    several = struct.pack("<BII", 1, 6, 2) + polygon + struct.pack("<BII", 1, 3, 1) + ring(*outer)
+    assert rings(head + several) == ("MultiPolygon", [(0, 0, outer), (0, 1, hole), (1, 0, outer)])
+    high = struct.pack(">BII", 0, 1002, 2) + struct.pack(">dddddd", 1, 2, 9, 3, 4, 9)
+    with_box = b"GP\0\3" + struct.pack("<i", 3006) + b"\0" * 32 + high
+    assert rings(with_box) == ("LineString", [(0, 0, [(1.0, 2.0), (3.0, 4.0)])])
+
+
+def test_remote_zip_directories(spark, tmp_path):
+    import threading
+    import zipfile
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from netspark.sources import remote
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("one.tif", b"x" * 5000)
+        z.writestr("two.txt", b"y")
+        z.writestr("sub/three.TIF", b"z" * 7)
+    raw, asked = (tmp_path / "a.zip").read_bytes(), []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            self.send_response(200 if self.path == "/a.zip" else 404)
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+
+        def do_GET(self):
+            a, z = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            asked.append(z - a + 1)
+            self.send_response(206)
+            self.end_headers()
+            self.wfile.write(raw[a : z + 1])
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    rows = remote.zip_members(spark.createDataFrame([(f"{url}/a.zip",), (f"{url}/none.zip",)], "url string")).collect()
+    server.shutdown()
+    assert {(r.member, r.size) for r in rows if r.status == "ok"} == {("one.tif", 5000), ("sub/three.TIF", 7)}
+    assert [r.status[:6] for r in rows if r.status != "ok"] == ["error:"] and sum(asked) < 3 * len(raw)
+
+
+def test_resampled_windows(spark):
+    from netspark.sources import raster
+
+    ramp = [float(c) for _ in range(20) for c in range(0, 200, 10)]
+    blocks = spark.createDataFrame([("s", 0, 0, 0, 20, 20, ramp)], "sheet string, block int, row0 int, col0 int, width int, height int, r array<double>")
+    wanted = spark.createDataFrame([(1, "s", 4, 4, 12, 12, 6, 6), (2, "s", 4, 4, 12, 12, 24, 24)], "window int, sheet string, col int, row int, w int, h int, out_w int, out_h int")
+    got = {r.window: np.array(r.r).reshape(r.height, r.width) for r in raster.windows(wanted, blocks, ("r",)).collect()}
+    assert abs(got[1][3, 1:5] - (45 + 20 * np.arange(1, 5))).max() <= 1 and abs(got[2][9, 6:18] - (40 + 10 * (np.arange(6, 18) - 0.5) / 2)).max() <= 2
+    edge = raster.windows(wanted.selectExpr("window", "sheet", "-3 as col", "row", "w", "h", "w as out_w", "h as out_h").limit(1), blocks, ("r",)).first()
+    assert np.array(edge.r).reshape(12, 12)[0, :5].tolist() == [255, 255, 255, 0, 10]
+
+
+def test_sheet_footprint(spark):
+    from netspark.functions import sheets
+
+    one = spark.createDataFrame([("7C 9b",)], "sheet string").select(*sheets.sheet_box("sheet")).select(sheets.footprint().alias("p")).first().p[0]
+    assert [round(v) for v in (min(p.x for p in one), min(p.y for p in one), max(p.x for p in one), max(p.y for p in one))] == [352473, 6441007, 357529, 6446063]
+    with pytest.raises(Exception, match="does not match"):
+        spark.createDataFrame([("7C9b",)], "sheet string").select(*sheets.sheet_box("sheet")).collect()
+    lat, lon = np.radians([55.5, 61.0, 68.9]), np.radians([11.1, 15.0, 23.9])
+    for system in (sheets.SHEETS, sheets.WORKING):
+        back = sheets.from_grid(*sheets.to_grid(lat, lon, system), system)
+        assert np.allclose(back, (lat, lon), atol=1e-11)
+
+
+def test_strict_parsing_and_lookups_fail_loudly(spark):
+    from netspark.functions import scalar as S
+    from netspark.operators import spatial
+
+    one = spark.createDataFrame([("cor_1", "x1", 1, 2)], "a string, b string, u int, v int")
+    for bad in (lambda: one.select(*S.parsed("a", r"cor_(\d+)_(\d+)", "int", "int")).collect(), lambda: one.select(S.strict_number("b")).collect(), lambda: spatial.coordinates(one, spark.createDataFrame([(1, 0.0, 0.0)], "node int, x double, y double")).collect()):
+        with pytest.raises(Exception):
+            bad()
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        writers.markdown(spark.range(5), 3)
+    assert "<td>4</td>" in writers.report("t", [("a", "text <b>"), ("b", spark.range(5))]) and "&lt;b&gt;" in writers.report("t", [("a", "text <b>")])
+    png = writers.grid_png(spark.createDataFrame([(0, 0, 0.0), (2, 1, 1.0)], "cx long, cy long, v double"), "v")
+    assert png[:8] == b"\x89PNG\r\n\x1a\n" and png[16:24] == b"\0\0\0\3\0\0\0\2"
+
+
+def test_goal_directed_search_on_a_grid(spark):
+    """Against a plain best-first search over one region with shared reads."""
+    import heapq
+    import random
+
+    rng = random.Random(3)
+    cells = {(x, y) for x in range(12) for y in range(12) if rng.random() < 0.8} | {(0, 0), (11, 11), (11, 0)}
+    links = [(a, b) for a in cells for b in ((a[0] + 1, a[1]), (a[0], a[1] + 1)) if b in cells]
+    code = lambda c: c[0] * search.PACK + c[1]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    goals, read, got = [(1, (11, 0)), (2, (11, 11)), (3, (5, 5)), (4, (30, 30))], {(0, 0)} & near.keys(), set()
+    far = lambda a, b: max(abs(a[0] - b[0]), abs(a[1] - b[1]))
+    for _, goal in goals:
+        if goal not in read:
+            ring = min((far(c, goal) for c in read), default=0)
+            best = {c: 0 for c in read if far(c, goal) <= ring + 3}
+            heap = [(far(c, goal), 0, code(c), c) for c in best]
+            heapq.heapify(heap)
+            done = set()
+            while heap and goal not in read:
+                f, g, _, c = heapq.heappop(heap)
+                if best[c] < g:
+                    continue
+                done.add(c)
+                read.add(c)
+                for d in near.get(c, ()):
+                    if g + 1 < best.get(d, 999):
+                        best[d] = g + 1
+                        heapq.heappush(heap, (g + 1 + far(d, goal), g + 1, code(d), d))
+        if goal in read:
+            got.add(goal)
+    df = spark.createDataFrame([("r", code(a), code(b)) for a, b in links], "region string, u long, v long")
+    start = spark.createDataFrame([("r", 0)], "region string, cell long")
+    wanted = spark.createDataFrame([("r", code(c), d) for d, c in goals], "region string, cell long, depth long")
+    rows = search.goal_directed(df, start, wanted).collect()
+    assert {r.cell for r in rows} == {code(c) for c in read} and {r.cell for r in rows if r.reached} == {code(c) for c in got}
+
+
+def test_many_goals_are_looked_for_in_growing_squares(spark):
+    import random
+
+    rng = random.Random(5)
+    cells = list({(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(60)})
+    goals = [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(50)] + [(290, 290)]
+    want = sorted((min(max(abs(x - a), abs(y - b)) for a, b in goals), x, y) for x, y in cells)
+    f, g = spark.createDataFrame(cells, "ix long, iy long"), spark.createDataFrame(goals, "ix long, iy long")
+    for k in (5, 60):
+        for most in (10, 1000):
+            assert [(r.dist, r.ix, r.iy) for r in search.choose(f, g, k, most).collect()] == want[:k]

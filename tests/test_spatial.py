@@ -92,3 +92,27 @@ def test_seams(spark):
     far = spark.createDataFrame([road("a", "a1", (10, 100), (495, 100)), road("b", "b1", (505, 145), (900, 145))], r.schema)
     joins, gaps = spatial.stitch(t, far)
     assert joins.count() == 0 and gaps.count() == 2
+
+
+def test_diagonals_take_few_buckets(spark):
+    s = spark.createDataFrame([(0.0, 0.0, 1000.0, 1000.0), (5.0, 5.0, 5.0, 995.0), (3.0, 3.0, 3.0, 3.0), (-50.0, 40.0, 60.0, -70.0)], "x1 double, y1 double, x2 double, y2 double")
+    for reach in (0.0, 10.0):
+        got = spatial.segment_cells(s.withColumn("i", F.monotonically_increasing_id()), 10.0, reach).groupBy("x1", "y1").count().collect()
+        assert max(r["count"] for r in got) < 1000
+        cells = {(r.x1, r.cx, r.cy) for r in spatial.segment_cells(s, 10.0, reach).collect()}
+        rng = random.Random(1)
+        for x1, y1, x2, y2 in s.collect():
+            for _ in range(300):
+                t, a = rng.random(), rng.uniform(0, 2 * math.pi)
+                x, y = x1 + t * (x2 - x1) + reach * 0.999 * math.cos(a), y1 + t * (y2 - y1) + reach * 0.999 * math.sin(a)
+                assert (x1, math.floor(x / 10), math.floor(y / 10)) in cells
+
+
+def test_shapes_that_meet():
+    box = lambda x, y, s: [np.array([(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)], float)]
+    assert G.polygons_meet(box(0, 0, 4), box(4, 4, 2)) and G.polygons_meet(box(0, 0, 9), box(3, 3, 1)) and not G.polygons_meet(box(0, 0, 4), box(4.1, 0, 2))
+    ring = [*box(0, 0, 10), *box(2, 2, 6)]
+    assert not G.polygons_meet(ring, box(4, 4, 1)) and G.polygons_meet(ring, box(1, 1, 2))
+    d, p, q = G.nearest_points(np.array([(0, 0), (10, 0)], float), np.array([(4, 3), (4, 9)], float))
+    assert d == 3 and p.tolist() == [4, 0] and q.tolist() == [4, 3]
+    assert G.nearest_points(np.array([(0, 0), (10, 0)], float), np.array([(4, -3), (4, 9)], float))[0] == 0
