@@ -11,7 +11,7 @@ def sentence(n, step=7):
 TEXTS = [
     None, "", " ", "Hello World", "hello world", "HELLO WORLD", "héllo É", "HÉLLO é", sentence(120), sentence(120), sentence(121),
     sentence(120) + " tail", "x" * 6000, "日本語のテキスト、🙂 123", "a<|endoftext|>b", "a\x00b\u0085c", sentence(4000, 11), "don't  stop \n\n\t now",
-    "one", "one two three", "=" * 3000, "12345 67890 ½²", "İstanbul ǅ ﬁ",
+    "one", "one two three", "=" * 3000, "12345 67890 ½²", "İstanbul ǅ ﬁ", "0" * 5000 + ".0.0.0", "½", "Ⅷ",
 ]
 
 

@@ -29,7 +29,7 @@ def luhn(d):
 def plain_spans(t):
     digits = lambda m: [int(c) for c in m[0] if c in "0123456789"]
     out = [("email", *m.span()) for m in EMAIL.finditer(t)]
-    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(p.lstrip("0")[:4] or "0") <= 255 for p in m[0].split("."))]
     out += [("card", *m.span()) for m in CARD.finditer(t) if 12 <= len(digits(m)) <= 19 and luhn(digits(m))]
     out += [("phone", *m.span()) for m in PHONE.finditer(t) if 9 <= len(digits(m)) <= 15]
     return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
