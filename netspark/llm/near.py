@@ -1,21 +1,29 @@
 """Near copies by the word shingles they share: Jaccard similarity of at least 0.8 over five words.
 
-The words are those of the fingerprints (lower-case A-Z, between ASCII white space); a text of fewer than ``k`` words is
-one shingle.  A text's 128 least hashes (MinHash) give a fingerprint of 128 bits and 24 keys of four of them; a pair of
-similarity s has a key in common with probability 1 - (1 - s^4)^24, which is 0.999997 at 0.8 and more above.
-
-1. In a bucket (one key) a search from member to member gives a forest of pairs whose fingerprints nearly agree.
-2. Each is verified by the exact similarity of the texts; verified links give components.
-3. Pairs of a bucket that are still in different components and can be similar at all (``WIDE`` bits: one pair at 0.8 in
-   some ten million is further; the numbers of shingles allow 0.8) are all verified, too.
-
-So large groups of copies don't give all their pairs, and nothing is capped or sampled.  Rows are told apart by a number
-of their own, so null and repeated doc_ids are rows like others.
+The words are those of operator 9's fingerprints (lower-case A-Z, between ASCII white space); a text of fewer than ``k``
+words is one shingle.  The method is operator 9's, made for a lower similarity: SimHash fingerprints, tables of their
+distances to pivots, verified links, components.
+
+1. Every text has a SimHash of 512 bits over its distinct shingles.  At a similarity of 0.8 two differ in 78 bits on
+   average (standard deviation 8); ``radius`` allows some 5.7 standard deviations more.
+2. Blocks of bits can't say which texts meet at that distance (24 bits agree in 2 % of such pairs), so texts meet in
+   buckets of 24 keys, each of four least hashes: a pair of similarity s shares one with probability
+   1 - (1 - s^4)^24, which is 0.999997 at 0.8 and more above.
+3. In a bucket a search from member to member gives a forest of pairs within the radius.  The distances of all members to
+   some of them (pivots) are tabled; pairs whose tables differ by more than the radius are discarded unseen.
+   The forests' components are loose groups: a link that shares a key never leaves its group.
+4. Every text of a group is sent once to a task of the group, which searches again from member to member, and keeps what the
+   exact similarity of the texts verifies.  A group of more than ``TILE`` shingles is dealt to tiles, and every pair
+   of tiles is a task, so a task stays bounded.  The components of these links are the result.
+
+No step gives a row for each pair of a group, and nothing is capped or sampled.  Rows are told apart by a number of their
+own, so null and repeated doc_ids are rows like others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +34,11 @@ from netspark.llm.common import free_name, slices, stored, table
 from netspark.llm.simhash import pivots
 from netspark.operators.components import connected_components
 
-SHINGLE, SIMILARITY, LEAST, KEYS, KEY_ROWS, TIGHT, WIDE = 5, 0.8, 128, 24, 4, 13, 32
+SHINGLE, SIMILARITY, WORDS, KEYS, KEY_ROWS, PIVOTS, TILE = 5, 0.8, 8, 24, 4, 8, 1 << 18
+LEAST, FEW = KEYS * KEY_ROWS, 8
 
-_SIGNED = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_MEMBER = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("up", pa.int64())])
+_SIGNED = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_MEMBER = pa.schema([("key", pa.int64()), ("row", pa.int64())])
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -38,13 +47,19 @@ def shingles(text: str, k: int = SHINGLE) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(k))))) if len(words) >= k else {b" ".join(words)}
 
 
-def jaccard(x: set, y: set) -> float:
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of ``64 * WORDS`` bits of hashed shingles: a bit is 1 where more than half the shingles have it."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(hashes), 255):  # so many bits add up in a byte
+        z = hashes[i : i + 255, None] + pivots(WORDS)
+        z = (z ^ z >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        z = (z ^ z >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        ones += np.unpackbits((z ^ z >> np.uint64(32)).view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint64)
 
 
 def signature(found: set[bytes]) -> tuple[np.ndarray, list[int]]:
-    """Fingerprint (two 64-bit integers) and keys of a text's shingles."""
+    """Fingerprint and bucket keys of a text's shingles."""
     from xxhash import xxh64_intdigest
 
     hashes = np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found))
@@ -53,47 +68,76 @@ def signature(found: set[bytes]) -> tuple[np.ndarray, list[int]]:
     for i in range(0, len(hashes), 512):
         turned = hashes[i : i + 512][None, :] * (turns[:LEAST, None] | np.uint64(1)) + turns[LEAST:, None]
         np.minimum(least, turned.min(1), out=least)
-    bits = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.uint8)
     keys = [xxh64_intdigest(least[i * KEY_ROWS : (i + 1) * KEY_ROWS].tobytes(), i) - (1 << 63) for i in range(KEYS)]
-    return np.packbits(bits).view(np.int64), keys
+    return fingerprint(hashes), keys
+
+
+def radius(similarity: float = SIMILARITY, few: bool = False) -> int:
+    """Bits in which fingerprints of texts of that similarity may differ.
+
+    The angle of two sets of one size is the widest at a similarity.  Of ``few`` shingles many bits are ties, which adds
+    up to a quarter (four shingles against five: 0.1875 of the bits differ instead of 0.1515).
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi * (1.25 if few else 1)
+    return math.ceil(64 * WORDS * p + 5.7 * math.sqrt(64 * WORDS * p * (1 - p)))
+
+
+def distances(fps: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps ^ x).sum(1, dtype=np.int32)
 
 
-def _far(fps: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps ^ x).sum(1, dtype=np.int64)
+def distance_table(fps: np.ndarray) -> np.ndarray:
+    """Distance of each fingerprint to some of them, each pivot the furthest from those before it."""
+    columns, nearest = [distances(fps, fps[0])], None
+    while len(columns) < min(PIVOTS, 1 + len(fps) // 8):
+        nearest = columns[-1] if nearest is None else np.minimum(nearest, columns[-1])
+        columns.append(distances(fps, fps[nearest.argmax()]))
+    return np.stack(columns, 1)
 
 
-def forest(fps: np.ndarray, rows: np.ndarray, radius: int = TIGHT) -> np.ndarray:
-    """For each member of a bucket the row it was reached from; its own row where a search began."""
-    up, left = rows.copy(), np.arange(len(rows))
+def forest(fps: np.ndarray, n: np.ndarray, similarity: float, side: np.ndarray | None = None, verify: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Members and those first reached from them: pairs that connect what all pairs within the radius would.
+
+    ``verify`` keeps those of some members that are linked to one; members of one ``side``, 0 or 1, don't meet.
+    """
+    tabled, left, wide, widest = distance_table(fps), np.arange(len(fps)), radius(similarity), radius(similarity, True)
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            ok = _far(fps[left], fps[x]) <= radius
-            if ok.any():
-                up[left[ok]] = rows[x]
-                queue += list(left[ok])
-                left = left[~ok]
-    return up
-
-
-def across(fps: np.ndarray, n: np.ndarray, label: np.ndarray, rows: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a bucket in different components whose similarity may reach the threshold."""
-    names, size = np.unique(label, return_counts=True)
-    if len(names) == 1:
-        return
-    order = np.argsort(size[np.searchsorted(names, label)], kind="stable")  # members of the largest component come last
-    fps, n, label, rows = fps[order], n[order], label[order], rows[order]
-    for i in range(len(rows) - int(size.max())):
-        ok = (label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]))
-        ok[ok] = _far(fps[i + 1 :][ok], fps[i]) <= WIDE
-        if ok.any():
-            other = rows[i + 1 :][ok]
-            yield np.minimum(other, rows[i]), np.maximum(other, rows[i])
+            some = left[np.minimum(n[left], n[x]) >= similarity * np.maximum(n[left], n[x])]
+            if side is not None and side[x] < 2:
+                some = some[side[some] != side[x]]
+            most = np.where(np.minimum(n[some], n[x]) <= FEW, widest, wide)
+            ok = np.abs(tabled[some] - tabled[x]).max(1, initial=0) <= most  # triangle inequality
+            some, most = some[ok], most[ok]
+            some = some[distances(fps[some], fps[x]) <= most]
+            if verify and len(some):
+                some = verify(x, some)
+            if len(some):
+                yield x, some
+                queue += some.tolist()
+                left = left[~np.isin(left, some, assume_unique=True)]
+
+
+def similar(found: list[set[bytes]], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Says which of some members have the exact similarity to one, given the shingles of each."""
+    number: dict[bytes, int] = {}
+    ids = [np.fromiter((number.setdefault(g, len(number)) for g in x), np.int64, len(x)) for x in found]
+    n, mark = np.array([len(x) for x in ids]), np.zeros(len(number), bool)
+
+    def verify(x: int, some: np.ndarray) -> np.ndarray:
+        mark[ids[x]] = True
+        starts = np.concatenate([[0], np.cumsum(n[some])[:-1]])
+        both = np.add.reduceat(mark[np.concatenate([ids[i] for i in some])], starts, dtype=np.int64)
+        mark[ids[x]] = False
+        return some[both / (n[x] + n[some] - both) >= similarity]
+
+    return verify
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole buckets of two rows or more; the input is sorted by ``key``, its first column."""
+    """Whole buckets; the input is sorted by ``key``, its first column."""
     kept: list[pa.RecordBatch] = []
     for b in batches:
         keys = b.column(0).to_numpy()
@@ -111,37 +155,73 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def _each(t: pa.Table) -> tuple[dict[str, np.ndarray], list[tuple[int, int]]]:
-    cols = {c: t.column(c).to_numpy() for c in t.column_names}
-    starts = np.flatnonzero(np.concatenate([[True], cols["key"][1:] != cols["key"][:-1]]))
-    ends = np.append(starts[1:], len(cols["key"]))
+def _each(t: pa.Table) -> list[tuple[int, int]]:
+    """Where the buckets of two rows or more begin and end."""
+    keys = t.column("key").to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(starts[1:], len(keys))
     more = ends - starts > 1
-    return cols, list(zip(starts[more].tolist(), ends[more].tolist()))
+    return list(zip(starts[more].tolist(), ends[more].tolist()))
+
+
+def _fps(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
+
+
+def _pairs(rows: np.ndarray, found: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for x, some in found:
+        yield np.minimum(rows[some], rows[x]), np.maximum(rows[some], rows[x])
+
+
+def _given(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if pairs:
+        yield table(_PAIR, np.concatenate([u for u, _ in pairs]), np.concatenate([v for _, v in pairs]))
 
 
 def _bucketed(members: DataFrame) -> DataFrame:
     return members.repartition("key").sortWithinPartitions("key", "row")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Of ``pairs`` (u, v) those whose texts have the similarity."""
+def groups(signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(row, component)`` of every row that lies within the radius of another in a bucket, itself or by others."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, set()
-        for b in slices(batches, 64):
-            us, vs, kept = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for i, (u, x, y) in enumerate(zip(us, b.column(2).to_pylist(), b.column(3).to_pylist())):
-                if u != last:
-                    last, of_last = u, shingles(x, k)
-                if jaccard(of_last, shingles(y, k)) >= similarity:
-                    kept.append(i)
-            yield table(_PAIR, [us[i] for i in kept], [vs[i] for i in kept])
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _buckets(batches):
+            if each := _each(t):
+                at = np.concatenate([np.arange(s, e) for s, e in each])
+                yield table(_MEMBER, *(t.column(c).to_numpy()[at] for c in ("key", "row")))
 
-    ends = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()
-    some = stored(texts.join(ends, "row", "left_semi"), "near-texts")
-    both = pairs.join(some.select(F.col("row").alias("u"), F.col("text").alias("x")), "u")
-    both = both.join(some.select(F.col("row").alias("v"), F.col("text").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _buckets(batches):
+            rows, n, fps = t.column("row").to_numpy(), t.column("n").to_numpy(), _fps(t)
+            yield from _given([p for s, e in _each(t) for p in _pairs(rows[s:e], forest(fps[s:e], n[s:e], similarity))])
+
+    dealt = _bucketed(signed.select(F.explode("keys").alias("key"), "row")).mapInArrow(shared, "key long, row long")
+    members = stored(dealt, "near-members").join(signed.select("row", "n", "fp"), "row").select("key", "row", "n", "fp")
+    loose = stored(_bucketed(members).mapInArrow(search, "u long, v long").distinct(), "near-loose")
+    return connected_components(loose).select(F.col("node").alias("row"), "component")
+
+
+def verified(grouped: DataFrame, signed: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``(u, v)``: links of the exact similarity whose components are those of all such links inside the groups."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _buckets(batches):
+            for s, e in _each(t):
+                one = t.slice(s, e - s)
+                found = [shingles(x, k) for x in one.column("text").to_pylist()]
+                n, verify = np.array([len(x) for x in found]), similar(found, similarity)
+                del found
+                yield from _given(list(_pairs(one.column("row").to_numpy(), forest(_fps(one), n, similarity, one.column("side").to_numpy(), verify))))
+
+    placed = stored(grouped.join(signed.select("row", "n", "fp"), "row"), "near-groups")
+    tiles = placed.groupBy("component").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
+    placed = placed.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("row"), "tiles").cast("int"))
+    sent = texts.join(placed, "row").withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    side = F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1)
+    key = F.xxhash64("component", F.least("tile", "other"), F.greatest("tile", "other"))  # if two are one by chance, more pairs meet
+    sent = sent.select(key.alias("key"), "row", "fp", side.alias("side"), "text")
+    return _bucketed(sent).mapInArrow(search, "u long, v long")
 
 
 def links(texts: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -151,35 +231,10 @@ def links(texts: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
         for b in slices(batches):
             found = [shingles(t, k) for t in b.column(1).to_pylist()]
             signed = [signature(x) for x in found]
-            yield table(_SIGNED, b.column(0), [len(x) for x in found], [int(f[0]) for f, _ in signed], [int(f[1]) for f, _ in signed], [ks for _, ks in signed])
+            yield table(_SIGNED, b.column(0), [len(x) for x in found], [f.tobytes() for f, _ in signed], [ks for _, ks in signed])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _buckets(batches):
-            cols, buckets = _each(t)
-            fps = np.stack([cols["a"], cols["b"]], 1).view(np.uint64)  # bits of signed numbers would be those of their size
-            up = [forest(fps[s:e], cols["row"][s:e]) for s, e in buckets]
-            if buckets:
-                at = np.concatenate([np.arange(s, e) for s, e in buckets])
-                yield table(_MEMBER, *(cols[c][at] for c in ("key", "row", "n", "a", "b")), np.concatenate(up))
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _buckets(batches):
-            cols, buckets = _each(t)
-            fps = np.stack([cols["a"], cols["b"]], 1).view(np.uint64)  # bits of signed numbers would be those of their size
-            for s, e in buckets:
-                for u, v in across(fps[s:e], cols["n"][s:e], cols["label"][s:e], cols["row"][s:e], similarity):
-                    yield table(_PAIR, u, v)
-
-    signed = texts.mapInArrow(sign, "row long, n int, a long, b long, keys array<long>")
-    dealt = _bucketed(signed.select(F.explode("keys").alias("key"), "row", "n", "a", "b"))
-    members = stored(dealt.mapInArrow(search, "key long, row long, n int, a long, b long, up long"), "near-members")
-    pair = (F.least("up", "row").alias("u"), F.greatest("up", "row").alias("v"))
-    tried = stored(members.where("up <> row").select(*pair).distinct(), "near-tried")
-    good = stored(verified(tried, texts, k, similarity), "near-good")
-    of_row = connected_components(good).select(F.col("node").alias("row"), "component")
-    labelled = members.join(of_row, "row", "left").select("key", "row", "n", "a", "b", F.coalesce("component", "row").alias("label"))
-    more = _bucketed(labelled).mapInArrow(rest, "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
-    return good.unionByName(verified(stored(more, "near-more"), texts, k, similarity))
+    signed = stored(texts.mapInArrow(sign, "row long, n int, fp binary, keys array<long>"), "near-signed")
+    return verified(groups(signed, similarity), signed, texts, k, similarity)
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from netspark.llm import near
 from tests.llm.cases import SCHEMA, sentence
 
 
@@ -64,3 +68,65 @@ def test_near_stage_reaches_a_similarity_of_0_8(spark):
     want = sorted((min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()), key=str)
     assert near > 100 and len(want) < len(out) - 60
     assert sorted(map(tuple, corpus_pipeline.near(spark, docs, "").collect()), key=str) == want
+
+
+def _alike(n: int, rng: random.Random) -> list[str]:
+    """Texts whose similarity to each other lies about 0.67, with a linked pair now and then."""
+    base, out = [f"b{i}" for i in range(200)], []
+    for i in range(n):
+        t = list(base)
+        for at in rng.sample(range(200), 4):
+            t[at] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(t))
+        if i % 20 == 0:
+            out.append(" ".join([*t[:-1], "other"]))
+    return out
+
+
+def _leaders(texts: list[str], similarity: float) -> list[int]:
+    found, leader = [near.shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while leader[x] != x:
+            x = leader[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(found[a] & found[b])
+            if both / (len(found[a]) + len(found[b]) - both) >= similarity:
+                leader[root(a)] = root(b)
+    return [root(x) for x in range(len(texts))]
+
+
+@pytest.mark.parametrize("tile", [1 << 18, 5000])
+def test_alike_texts_give_no_row_a_pair(spark, monkeypatch, tile):
+    rows, whole = [], near.stored
+    monkeypatch.setattr(near, "stored", lambda df, name, *a: rows.append(whole(df, name, *a)) or rows[-1])
+    monkeypatch.setattr(near, "TILE", tile, raising=False)
+    texts = _alike(400, random.Random(8))
+    leaders = _leaders(texts, 0.8)
+    kept = near.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(kept) == len(set(leaders)) < len(texts)
+    assert max(df.count() for df in rows) <= near.KEYS * len(texts)  # pairs would be 88,000
+
+
+def test_fingerprints_and_pivot_tables_of_the_near_stage():
+    """Pairs of 0.8 lie within the radius, and the tables discard only pairs beyond it."""
+    from xxhash import xxh64_intdigest
+
+    rng = np.random.default_rng(3)
+    fp = lambda names: near.fingerprint(np.array([xxh64_intdigest(str(x)) for x in names], np.uint64))
+    for size, own in ((4, 1), (8, 1), (80, 10), (400, 50)):
+        for _ in range(200):
+            common = list(rng.integers(0, 2**60, size))
+            a, b = common + list(rng.integers(0, 2**60, own)), common + (list(rng.integers(0, 2**60, own)) if size > 8 else [])
+            assert len(common) / (len(a) + len(b) - len(common)) >= 0.8
+            assert np.bitwise_count(fp(a) ^ fp(b)).sum() <= near.radius(0.8, len(b) <= near.FEW)
+    fps = rng.integers(0, 2**64, (60, near.WORDS), np.uint64)
+    fps[30:] = fps[:30] ^ np.uint64(5)
+    n, tabled = np.full(60, 100), near.distance_table(fps)
+    assert tabled.shape[1] == near.PIVOTS
+    assert sorted((int(x), int(y)) for x, some in near.forest(fps, n, 0.8) for y in some) == [(i, i + 30) for i in range(30)]
+    for i in range(60):
+        assert (np.abs(tabled - tabled[i]).max(1) <= near.distances(fps, fps[i])).all()
