@@ -58,6 +58,23 @@ def test_reviews_and_disputes(spark):
     assert kinds == ["class_case_normalised", "contested_kind_not_in_vocabulary", "correction_missing", "duplicate_reviewed_feature_id", "verdict_case_normalised", "verdict_not_in_vocabulary"]
 
 
+def test_deviations_read_the_documents_twice_at_most(spark, tmp_path):
+    """Once for everything and once for ids that repeat; no filter opens JSON again."""
+    spark.createDataFrame([("t", '{"tile_id":"t","features":[{"id":"a"},{"id":"a"}],"junctions":[]}')], "tile_id string, text string").write.parquet(f"{tmp_path}/answers")
+    got = A.deviations(A.documents(spark.read.parquet(f"{tmp_path}/answers")), A.PASS_A)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Relation" in x for x in plan) <= 2
+    assert not [x for x in plan if "Filter" in x and ("from_json" in x or "parse" in x)]
+    assert got.where("kind = 'duplicate_feature_id'").count() == 1
+
+
+def test_ids_repeat_within_a_tile_and_elements_may_be_text(spark):
+    one, two = ('{"tile_id":"t","junctions":[],"features":[%s]}' % x for x in ('{"id":"a"},"{\\"id\\":\\"a\\"}",{"id":"b"}', '{"id":"a"},{"id":"a"},{"id":"c","feature_id":"b"},"\\u007b"'))
+    docs = A.documents(spark.createDataFrame([("t", one), ("t", two), ("s", one)], "tile_id string, text string"))
+    rows = A.deviations(docs, A.PASS_A).where("kind = 'duplicate_feature_id' or key = '<feature>'").collect()
+    assert sorted((r.tile_id, r.object_id, r.detail) for r in rows) == [("s", "<item-01>", "STRING instead of an object"), ("t", "<item-01>", "STRING instead of an object"), ("t", "<item-03>", "STRING instead of an object"), ("t", "a", "a again"), ("t", "a", "a again"), ("t", "b", "b again")]
+
+
 def test_missing_fields_come_first(spark):
     rows = spark.createDataFrame([("t", 0, "f", "A", [[0.0, 0.0], [1.0, 1.0]], "unknown"), ("t", 1, None, "A", None, "unknown")], "tile_id string, ord int, feature_id string, pass string, waypoints_uv array<array<double>>, proposed_class string")
     tiles = spark.createDataFrame([("t", 9.0, 9.0)], "tile_id string, display_w double, display_h double")
